@@ -1,16 +1,15 @@
 """Byte-level BPE by a global distinct-word shuffle.
 
 1. Every text is split into pre-tokens. Documents are gathered into blocks (about
-   ``BLOCK_CHARS`` code points, all from one task); a block keeps one dictionary of its words and,
-   per document, the positions as indices into that dictionary. This is the exploded
-   (document, position, word) table with the repeats of a word inside a block held once.
-2. The words of all block dictionaries are made distinct in one shuffle, each distinct word is
-   encoded once, and the ids are joined back to the dictionaries by word.
-3. Each block meets its encoded dictionary again and every document is put together by position.
-   Decoding looks each id up in the token-byte table (bounded by the vocabulary).
-
-A word occurs once per block dictionary at most, so no key of a shuffle holds more than one row
-per block, however frequent the word is.
+   ``BLOCK_CHARS`` code points, all from one task); a block holds each of its words once, and per
+   document the positions as places in the block's list of words. This is the exploded (document,
+   position, word) table with the repeats of a word inside a block held once and packed.
+2. The words are shuffled by hash, so that a word of all blocks meets in one bucket; each distinct
+   word is encoded once, and its ids go back to every block that has it.
+3. Each block joins its ids, and every document is put together by position. Decoding looks each id
+   up in the token-byte table (bounded by the vocabulary).
+
+A word occurs once per block at most, so no bucket grows with the frequency of a word.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import base64
 import functools
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +27,13 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of text that a block holds before the next block begins.
 BLOCK_CHARS = 24_000_000
-#: Tokens whose pre-token lists are held at once while a block is built.
+#: Code points whose pre-tokens are held as separate strings while a block is built.
 CHUNK_CHARS = 1_000_000
 
 #: Where ``re`` splits exactly as the Unicode pattern does: Latin-1 without the few code points
@@ -94,66 +95,67 @@ def decode(ids: np.ndarray, path: str) -> bytes:
     return _gather(values, starts, ids.astype(np.int64)).tobytes()
 
 
-_BLOCKS = "block string, words binary, doc_id long, n_words long, places binary"
+_BLOCKS = "block string, bucket int, doc_id long, n long, data binary"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Indices as three byte planes, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, all first bytes before all second ones."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, 3 * n)), dtype=np.uint8)
+def _numbers(data: bytes, n: int, width: int) -> np.ndarray:
     out = np.zeros((n, 4), dtype=np.uint8)
-    out[:, :3] = planes.reshape(3, n).T
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width).reshape(width, n).T
     return out.reshape(-1).view("<u4").astype(np.int64)
 
 
-def _block_rows(name: str, docs: list[tuple[int | None, int]], parts: list[pa.Array]) -> pa.RecordBatch:
-    """One row with the dictionary of a block, then a row for each document."""
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+def _block_rows(block: str, docs: list[tuple[int | None, int]], parts: list[pa.Array], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The words of a block with their places, a row per bucket; then a row for each document.
+
+    Places follow frequency, and the alphabet among equals: small numbers and sorted words pack well.
+    """
     coded = pa.chunked_array(parts, type=pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
-    words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+    words = coded.chunk(0).dictionary.to_pylist() if coded.num_chunks else []
     index = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks] or [np.zeros(0, np.int32)])
-    rank = np.empty(len(words), dtype=np.int64)
-    order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
-    rank[order] = np.arange(len(words))
-    index = rank[index]
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("w", pa.string())])) as out:
-        out.write_batch(pa.record_batch([words.take(pa.array(order))], names=["w"]))
-    packed = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-    ids, counts, places, at = [None], [None], [None], 0
+    counts = np.bincount(index, minlength=len(words)).tolist()
+    order = sorted(range(len(words)), key=lambda k: (-counts[k], words[k]))
+    place = np.empty(len(words), dtype=np.int64)
+    place[order] = np.arange(len(words))
+    index = place[index]
+    names = ["block", "bucket", "doc_id", "n", "data"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    dealt: dict[int, list[tuple[str, int]]] = {}
+    for at, k in enumerate(order):
+        dealt.setdefault(zlib.crc32(words[k].encode()) % buckets, []).append((words[k], at))
+    rows = []
+    for bucket, pairs in dealt.items():
+        pairs.sort()
+        own = [w.encode() for w, _ in pairs]
+        data = _planes(np.array([len(w) for w in own]), 4) + _planes(np.array([at for _, at in pairs]), 3) + b"".join(own)
+        rows.append((block, bucket, None, len(pairs), _squeeze(data)))
+    at = 0
     for doc, n in docs:
-        ids.append(doc)
-        counts.append(n)
-        places.append(_pack(index[at : at + n]))
+        rows.append((block, None, doc, n, _squeeze(_planes(index[at : at + n], 3))))
         at += n
-    return pa.record_batch(
-        [pa.array([name] * len(ids)), pa.array([packed] + [None] * len(docs), pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.binary())],
-        names=["block", "words", "doc_id", "n_words", "places"],
-    )
+    for k in range(0, len(rows), 2000):
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000], strict=True), kinds, strict=True)], names=names)
 
 
-def _to_blocks(pattern: str, block_chars: int):
+def _to_blocks(pattern: str, block_chars: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        from pyspark import TaskContext
-
-        gc.disable()  # lists of short strings only
         part, ordinal = TaskContext.get().partitionId(), 0
         docs: list[tuple[int | None, int]] = []
         parts: list[pa.Array] = []
         flat: list[str] = []
         held = chunk = 0
-
-        def coded() -> None:
-            nonlocal flat, chunk
-            if flat:
-                parts.append(pa.array(flat, pa.string()).dictionary_encode())
-            flat, chunk = [], 0
-
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
@@ -162,39 +164,48 @@ def _to_blocks(pattern: str, block_chars: int):
                 flat += found
                 held += len(text)
                 chunk += len(text)
-                if chunk >= CHUNK_CHARS:
-                    coded()
+                if chunk >= CHUNK_CHARS or held >= block_chars:
+                    parts.append(pa.array(flat, pa.string()).dictionary_encode())
+                    flat, chunk = [], 0
                 if held >= block_chars:
-                    coded()
-                    yield _block_rows(f"{part}-{ordinal}", docs, parts)
+                    yield from _block_rows(f"{part}-{ordinal}", docs, parts, buckets)
                     docs, parts, held, ordinal = [], [], 0, ordinal + 1
         if docs:
-            coded()
-            yield _block_rows(f"{part}-{ordinal}", docs, parts)
+            parts.append(pa.array(flat, pa.string()).dictionary_encode())
+            yield from _block_rows(f"{part}-{ordinal}", docs, parts, buckets)
 
     return run
 
 
-def _dictionary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, place, word) of the dictionary rows."""
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of buckets, without the documents."""
     for batch in batches:
-        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if not packed.is_valid:
-                continue
-            data = zstandard.ZstdDecompressor().decompressobj().decompress(packed.as_py())
-            words = pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
-            for at in range(0, len(words), 50_000):
-                some = words.slice(at, 50_000)
-                yield pa.record_batch([pa.array([block] * len(some)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), some], names=["block", "place", "word"])
+        yield batch.filter(pc.is_valid(batch.column("bucket"))).select(["block", "bucket", "n", "data"])
 
 
-def _encode_words(path: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode_bucket(path: str, pattern: str):
+    """Encode each distinct word of a bucket once, and give every block the ids of its words."""
+
+    def run(rows: pa.Table) -> pa.Table:
         encode_word = _encoding(path, pattern)._encode_single_piece  # a word is one match of the pattern
-        for batch in batches:
-            words = batch.column(0)
-            ids = [np.asarray(encode_word(w), dtype="<u4").tobytes() for w in words.to_pylist()]
-            yield pa.record_batch([words, pa.array(ids, pa.binary())], names=["word", "ids"])
+        known: dict[bytes, list[int]] = {}
+        out = []
+        for n, packed in zip(rows.column("n").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            data = _unsqueeze(packed)
+            ends = np.cumsum(_numbers(data, n, 4)) + 7 * n
+            ids: list[int] = []
+            counts = []
+            at = 7 * n
+            for end in ends.tolist():
+                word = data[at:end]
+                got = known.get(word)
+                if got is None:
+                    got = known[word] = encode_word(word)
+                ids += got
+                counts.append(len(got))
+                at = end
+            out.append(_squeeze(data[4 * n : 7 * n] + _planes(np.array(counts), 3) + _planes(np.array(ids), 3)))
+        return pa.table([rows.column("block"), rows.column("n"), pa.array(out, pa.binary())], names=["block", "n", "data"])
 
     return run
 
@@ -205,24 +216,33 @@ _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string
 
 def _assemble(path: str, digest: bool):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("place").combine_chunks()
-        lengths = pc.binary_length(words.column("ids")).to_numpy().astype(np.int64) // 4
-        starts = np.zeros(len(lengths) + 1, dtype=np.int64)
-        np.cumsum(lengths, out=starts[1:])
-        values = np.frombuffer(b"".join(words.column("ids").to_pylist()), dtype="<u4")
-        doc_ids, counts, ids_out, texts_out = [], [], [], []
-        for doc, n, places in zip(docs.column("doc_id").to_pylist(), docs.column("n_words").to_pylist(), docs.column("places"), strict=True):
-            if not places.is_valid:
+        places, counts, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, packed in zip(words.column("n").to_pylist(), words.column("data").to_pylist(), strict=True):
+            data = _unsqueeze(packed)
+            places.append(_numbers(data, n, 3))
+            counts.append(_numbers(data[3 * n :], n, 3))
+            values.append(_numbers(data[6 * n :], int(counts[-1].sum()), 3))
+        place, count, value = np.concatenate(places), np.concatenate(counts), np.concatenate(values)
+        if len(place) and len(place) != place.max() + 1:
+            raise ValueError("a block lacks words: its documents changed between two readings")
+        order = np.argsort(place, kind="stable")
+        began = np.cumsum(count) - count
+        lengths = count[order]
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        value = value[np.repeat(began[order] - starts[:-1], lengths) + np.arange(int(starts[-1]))].astype("<u4")
+        doc_ids, totals, ids_out, texts_out = [], [], [], []
+        for doc, n, bucket, packed in zip(docs.column("doc_id").to_pylist(), docs.column("n").to_pylist(), docs.column("bucket"), docs.column("data"), strict=True):
+            if bucket.is_valid:
                 continue
-            ids = _gather(values, starts, _unpack(places.as_py(), n))
+            ids = _gather(value, starts, _numbers(_unsqueeze(packed.as_py()), n, 3))
             doc_ids.append(doc)
-            counts.append(len(ids))
+            totals.append(len(ids))
             if digest:
                 ids_out.append(hashlib.sha256(ids).hexdigest())
                 texts_out.append(hashlib.sha256(decode(ids, path)).hexdigest())
             else:
                 ids_out.append(ids.tobytes())
-        out = [pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64())]
+        out = [pa.array(doc_ids, pa.int64()), pa.array(totals, pa.int64())]
         if digest:
             return pa.table([*out, pa.array(ids_out, pa.string()), pa.array(texts_out, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         return pa.table([*out, pa.array(ids_out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
@@ -234,20 +254,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(doc_id, n_tokens, ids) for every row of ``docs``.
 
     ``ids`` is little-endian unsigned 32-bit. With ``digest`` the ids are decoded at once and the
-    digests of ids and bytes are returned in their place. A null or empty text has no ids; a repeated row or
-    id gives as many rows; other columns of ``docs`` are left out; an empty table gives no rows.
-    ``path`` must be readable on every executor (an installed vocabulary file).
+    digests of ids and bytes are returned in their place. A null or empty text has no ids; a repeated
+    row or id gives as many rows; other columns of ``docs`` are left out; an empty table gives no
+    rows. ``path`` must be readable on every executor (an installed vocabulary file).
     """
     spark = docs.sparkSession
-    # One exchange holds the blocks for both uses: their dictionaries and their documents.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One exchange holds the blocks for both uses: their words and their documents.
     blocks = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_to_blocks(pattern, block_chars), _BLOCKS)
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+        .mapInArrow(_to_blocks(pattern, block_chars, 2 * parts), _BLOCKS)
+        .repartition(parts, "block")
     )
-    entries = blocks.mapInArrow(_dictionary_rows, "block string, place int, word string")
-    words = entries.select("word").distinct().mapInArrow(_encode_words(path, pattern), "word string, ids binary")
-    coded = entries.join(words, "word").select("block", "place", "ids")
+    words = blocks.mapInArrow(_word_rows, "block string, bucket int, n long, data binary")
+    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), "block string, n long, data binary")
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(path, digest), _DIGESTS if digest else _IDS)
 
 
