@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starsift.llm import audio, bpe, chat, mixing, secrets, toxicity
+from starsift.llm import audio, bpe, chat, html, mixing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.store(table(spark, sf_dir, "documents")))
 
@@ -50,6 +55,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_host_paths": op2_host_paths,
         "op4_audio_features": op4_audio_features,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_chat_grammar": op7_chat_grammar,
