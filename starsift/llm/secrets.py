@@ -114,8 +114,9 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
         unseen = unseen.join(known.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     one = addressed.hint("shuffle_hash").join(unseen.select(F.col("blob").alias("b"), F.col("path").alias("p")).hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
     found = one.select("blob", "text").mapInPandas(_scan, _FINDINGS)
-    found.withColumn("rule_version", F.lit(version)).write.mode("append").parquet(ledger)
-    return spark.read.parquet(ledger).filter(F.col("rule_version") == version).drop("rule_version").dropDuplicates(["blob"])
+    # A row that is there twice was scanned twice; the ledger gets each blob once.
+    found.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(version)).write.mode("append").parquet(ledger)
+    return spark.read.parquet(ledger).filter(F.col("rule_version") == version).drop("rule_version")
 
 
 def scan_paths(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
