@@ -144,9 +144,13 @@ def redacted(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([redact(t, [(int(s), int(e), k) for k, s, e in (x.split(":") for x in found.split(","))]) if found else t for t, found in zip(texts, spans, strict=True)])
 
-    columns = docs.columns
-    found = scan_paths(docs.withColumnRenamed("spans", "own_spans") if "spans" in columns else docs, ledger, id_col, text_col)
-    out = found.withColumn(text_col, F.when(F.col("spans") != "", masked(text_col, "spans")).otherwise(F.col(text_col)))
-    if length_col in columns:
-        out = out.withColumn(length_col, F.when(F.col("spans") != "", F.length(text_col).cast(dict(docs.dtypes)[length_col])).otherwise(F.col(length_col)))
-    return out.select([c for c in columns if c in out.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(id_col).alias("path_id"), F.col(text_col).alias("body"))
+    found = scan_paths(own, ledger, "path_id", "body")
+    changed = F.col("spans") != ""
+    out = found.withColumn("masked", F.when(changed, masked("body", "spans")).otherwise(F.col("body")))
+    types = dict(docs.dtypes)
+    as_it_was = {c: F.col(f"own.`{c}`") for c in docs.columns}
+    as_it_was[text_col] = F.col("masked")
+    if length_col in types:
+        as_it_was[length_col] = F.when(changed, F.length("masked").cast(types[length_col])).otherwise(F.col(f"own.`{length_col}`"))
+    return out.select(*(c.alias(name) for name, c in as_it_was.items()))
