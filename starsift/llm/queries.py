@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, secrets, toxicity
+from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.store(table(spark, sf_dir, "documents")))
 
@@ -48,7 +52,7 @@ def op7_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts", "kept")
 
 
 def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_host_paths": op2_host_paths,
+        "op3_importance_resampling": op3_importance_resampling,
         "op4_audio_features": op4_audio_features,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_cross_polytope": op6_cross_polytope,

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, queries, secrets, toxicity
+from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, quality, queries, secrets, toxicity
 from starsift.llm.components import connected_components
 from starsift.storage import new_path
 
@@ -145,6 +145,52 @@ def test_pages_of_the_table(spark, sf):
         assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
 
 
+# --- quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_resampling_is_gumbel_top_k_of_ratios(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["a", "b", "c", "!!"] if k % 3 else ["a", "x&&&", "y"], k=rng.randint(1, 12))) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(30)], "doc_id long, quality long")
+    got = {r["doc_id"]: r for r in quality.resample(docs, labels, 0.5).collect()}
+
+    def grams(t):
+        return quality.ngrams(t, quality._Hashes())
+
+    def shares(own):
+        counts = np.full(quality.BUCKETS, quality.SMOOTHING)
+        for t in own:
+            for g in grams(t):
+                counts[g] += 1
+        return np.log(counts / counts.sum())
+
+    ratio = shares([t for k, t in enumerate(texts) if k < 30 and k % 3]) - shares(texts)
+    for k, t in enumerate(texts):
+        assert abs(got[k]["log_weight"] - ratio[grams(t)].sum()) < 1e-9
+    order = sorted(got.values(), key=lambda r: (-r["sample_key"], r["doc_id"]))
+    assert [r["kept"] for r in order] == [True] * 30 + [False] * 30 and [r["rank"] for r in order] == list(range(1, 61))
+    noise = [r["sample_key"] - r["log_weight"] for r in got.values()]
+    assert abs(np.mean(noise) - 0.577) < 0.6
+    again = {r["doc_id"]: r for r in quality.resample(docs.repartition(5), labels, 0.5).collect()}
+    assert all(again[k]["kept"] == got[k]["kept"] for k in got)
+
+
+def test_resampling_keeps_good_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op3_importance_resampling(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    good = rows["quality"] == 1
+    assert rows["kept"][good].mean() > 0.93 and rows["kept"][~good].mean() < 0.5
+
+
+def test_resampling_odd_tables(spark, odd, empty, labels):
+    named = labels.withColumnRenamed("toxic", "quality")
+    out = quality.resample(odd.withColumn("log_weight", F.lit("clash")).withColumn("sample_key", F.lit("clash")), named, 0.5)
+    assert out.count() == len(ODD) and out.filter("kept").count() == 5
+    assert {r["log_weight"] for r in quality.resample(odd, named.limit(0)).collect()} == {0.0}
+    assert quality.resample(empty, named).count() == 0
+
+
 # --- audio -----------------------------------------------------------------------------------------------------------
 
 
