@@ -67,6 +67,27 @@ def test_zip_entries(spark, tmp_path):
     assert {(r["filename"], bytes(r["content"])) for r in I.read_zip_images(spark, str(tmp_path)).collect()} == {("x/one.JPG", b"1"), ("two.png", b"2")}
 
 
+def test_nested_images_and_stored_winners(spark, tmp_path):
+    row = spark.createDataFrame([(bytearray(b"x"), "n0153")], "bytes binary, label string").select(F.struct("bytes").alias("image"), "label")
+    for split in ("train", "test"):
+        row.coalesce(1).write.parquet(str(tmp_path / f"w-{split}"))
+        (tmp_path / "nested").mkdir(exist_ok=True)
+        next((tmp_path / f"w-{split}").glob("*.parquet")).rename(tmp_path / "nested" / f"{split}-00000.parquet")
+    rows = I.read_nested_images(spark, str(tmp_path / "nested")).collect()
+    assert {(r["split"], r["label"], bytes(r["content"])) for r in rows} == {("train", "n0153", b"x"), ("test", "n0153", b"x")}
+    best = spark.createDataFrame([("d/a.png", 0.9, bytearray(b"p"))], "filename string, score double, pixels binary")
+    I.write_topn(best, str(tmp_path / "top"))
+    assert I.read_topn(spark, str(tmp_path / "top")).first()["filename"] == "a.png"
+    assert I.append_predictions(best, str(tmp_path / "store")).count() == 1
+    assert I.append_predictions(best, str(tmp_path / "store")).count() == 2
+
+
+def test_image_stream(spark, folder, tmp_path_factory):
+    out, progress = new_path(spark, "found"), new_path(spark, "progress")
+    T.stream_search(I.stream_images(spark, folder), lambda df: df.select("filename", F.length("content").cast("double").alias("score")), out, progress).awaitTermination()
+    assert {r["filename"] for r in spark.read.parquet(out).collect()} == {"a.png", "b.PNG", "c.png", "bad.png"}
+
+
 def test_label_csv(spark, tmp_path):
     (tmp_path / "l.csv").write_text("filename,label,note\na,normal,x\nb,anomaly,\n")
     df = L.read_labels(spark, str(tmp_path / "l.csv"))
@@ -241,6 +262,11 @@ def test_round_adds_labels(spark, blobs):
     assert 0 <= done.metrics.first()["auroc"] <= 1
 
 
+def test_sweep(spark, blobs):
+    out = rounds.sweep(blobs.select("filename", "features"), blobs.select("filename", "label_idx"), [1], fixmatch.Config(steps=2, lr=0.3, ema=0.5)).collect()
+    assert [(r["anomaly_class"], r["iteration"]) for r in out] == [(1, 0)]
+
+
 def test_search_stores_all_and_returns_payload(spark, blobs):
     source = blobs.withColumn("source", F.lit("s"))
     store = new_path(spark, "predictions")
