@@ -146,7 +146,7 @@ def fit(rows: DataFrame, cfg: Config | None = None, start: LinearModel | None =
             theta = theta - lr * (speed / (1 - 0.9 ** (step + 1))) / (np.sqrt(square / (1 - 0.999 ** (step + 1))) + 1e-8)
         average = cfg.ema * average + (1 - cfg.ema) * theta
         sup_loss, uns_loss = loss[0] / max(loss[1], 1e-12), loss[2] / max(loss[3], 1)
-        history.append({"step": step, "sup_loss": sup_loss, "unsup_loss": uns_loss, "total_loss": sup_loss + cfg.unlabeled_weight * uns_loss, "mask_ratio": 1 - loss[4] / max(loss[3], 1)})
+        history.append({"step": step, "sup_loss": float(sup_loss), "unsup_loss": float(uns_loss), "total_loss": float(sup_loss + cfg.unlabeled_weight * uns_loss), "mask_ratio": float(1 - loss[4] / max(loss[3], 1))})
     as_model = lambda t: LinearModel(t[:d].tolist(), t[d].tolist())
     return Fit(as_model(average), as_model(theta), history)
 
