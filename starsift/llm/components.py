@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             break
         both = now.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(now.select(F.col("low").alias("u"), F.col("high").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).filter("high <> low").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).filter("high <> low")
         smallest = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(smallest, "high").select(F.explode(F.array(F.struct(F.col("low").alias("high"), F.col("m").alias("low")), F.struct("high", F.col("m").alias("low")))).alias("e")).select("e.*")
         now = small.filter("high <> low").distinct().checkpoint()

@@ -7,7 +7,8 @@
 3. Candidates. Each text is first held against the text that leads most of its buckets (the smallest
    there), so that a large group of copies costs one comparison for each text. What still meets in a
    bucket from different groups is then compared by word counts in blocks; pairs whose counts rule
-   out the similarity are dropped, which loses nothing, and the rest are candidates.
+   out the similarity are dropped, which loses nothing. First each text is held against the one
+   nearest by counts only, which joins what is left of large groups; then all other pairs are candidates.
 4. Candidates are verified by banded alignment of their words: a link is an edit similarity, 1 minus
    edit distance over the longer length, of at least LEAST. Components of links are the classes.
 """
@@ -29,7 +30,7 @@ from starsift.storage import written
 #: Words of a k-mer, sketches, k-mers that a sketch picks, and the least similarity of a link.
 WORDS, SKETCHES, PICKED, LEAST = 5, 32, 2, 0.8
 #: Bins of the word counts that rule pairs out, and texts of a block.
-BINS, BLOCK = 256, 256
+BINS, BLOCK = 256, 2048
 SEED = 20240611
 
 _rng = np.random.default_rng(SEED)
@@ -203,8 +204,11 @@ def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").mapInPandas(_verify(least), "a long, b long")
 
 
-def _rule_out(least: float):
-    """Pairs of different groups in a block pair whose word counts allow the similarity."""
+def _rule_out(least: float, nearest: bool):
+    """Pairs of different groups in a block pair whose word counts allow the similarity.
+
+    With ``nearest`` each text gives only the pair whose counts differ least.
+    """
     keys = ["bucket", "low", "high"]
 
     def one(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -218,13 +222,16 @@ def _rule_out(least: float):
         counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
         for i in a:
             j = b[group[b] != group[i]]
-            if low == high:
+            if low == high and not nearest:
                 j = j[j > i]
             most = (1 - least) * np.maximum(n[j], n[i]) + 1e-9
             j, most = j[np.abs(n[j] - n[i]) <= most], most[np.abs(n[j] - n[i]) <= most]
             over = counts[j] - counts[i]
             lost = np.maximum(np.where(over > 0, over, 0).sum(axis=1), np.where(over < 0, -over, 0).sum(axis=1))
-            j = j[lost <= most]
+            good = lost <= most
+            j = j[good]
+            if nearest and len(j):
+                j = j[np.lexsort((rid[j], lost[good] / most[good]))[:1]]
             if len(j):
                 yield pd.DataFrame({"a": np.minimum(rid[j], rid[i]), "b": np.maximum(rid[j], rid[i])})
 
@@ -243,16 +250,34 @@ def _rule_out(least: float):
     return run
 
 
+def _open_pairs(met: DataFrame, groups: DataFrame, drawn: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Candidates (a, b) of different groups among texts that share a bucket.
+
+    The largest group of a bucket is never held against itself: its blocks meet those of the rest.
+    """
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = met.select("bucket", "rid").join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("component", "rid")).drop("component")
+    sizes = grouped.groupBy("bucket", "group").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.max("size").alias("most"), (F.sum("size") - F.max("size")).alias("rest")).filter("rest > 0")
+    mixed = mixed.select("bucket", "main", F.ceil(F.col("rest") / BLOCK).alias("blocks"), F.ceil(F.col("most") / BLOCK).alias("main_blocks"))
+    rows = grouped.join(mixed, "bucket").join(drawn.select("rid", "n", "counts").dropDuplicates(["rid"]), "rid")
+    draw = F.xxhash64("rid")
+    is_main = F.col("group") == F.col("main")
+    rows = rows.withColumn("own", F.when(is_main, F.col("blocks") + F.pmod(draw, "main_blocks")).otherwise(F.pmod(draw, "blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1 + F.when(is_main, 0).otherwise(F.col("main_blocks")))))
+    rows = rows.select("bucket", "rid", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "counts")
+    keys = ["bucket", "low", "high"]
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_rule_out(least, nearest), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, rid, class_id, n_links, kept) for every row of ``docs``.
+    """(doc_id, rid, class_id, n_texts, kept) for every row of ``docs``.
 
-    ``class_id`` is the smallest doc_id of the class, ``n_links`` the number of other texts of the
+    ``class_id`` is the smallest doc_id of the class, ``n_texts`` the number of different texts of the
     class, ``kept`` marks its rows with that id. Rows of equal text (null counts as empty) are one
     class. A text without words is near to no other text; texts of fewer than 1 / (1 - least) words
     are near if their words are equal. Repeated rows share a class; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
     # Copies are hashed too, which spares a shuffle of texts; the picks of one text are equal.
@@ -267,26 +292,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = met.filter("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("times"))
     led = led.groupBy("rid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
     links = written(verified(led.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), words, least), "links")
-    groups = written(connected_components(links), "groups")
-
-    # Then what meets in a bucket and is of different groups so far.
-    grouped = met.select("bucket", "rid").join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("component", "rid")).drop("component")
-    mixed = grouped.groupBy("bucket").agg(F.min("group").alias("first"), F.max("group").alias("last"), F.count("*").alias("size")).filter("first <> last")
-    open_rows = grouped.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket")
-    open_rows = open_rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    open_rows = open_rows.select("bucket", "rid", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    open_rows = open_rows.join(drawn.select("rid", "n", "counts").dropDuplicates(["rid"]), "rid")
-    keys = ["bucket", "low", "high"]
-    left = open_rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_rule_out(least), "a long, b long").distinct()
-    more = written(verified(left, words, least), "more_links")
-    groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # Then what meets in a bucket and is of different groups so far: first each text and the one
+    # nearest to it by word counts, which joins large groups by few comparisons, then all that is left.
+    for nearest in (True, False):
+        groups = written(connected_components(links), "groups")
+        pairs = _open_pairs(met, groups, drawn, least, nearest)
+        links = written(links.unionByName(verified(pairs, words, least)), "links")
+    groups = connected_components(links)
 
     # The smallest id of each text, then of each class.
     firsts = own.groupBy("rid").agg(F.min("doc_id").alias("doc_id")).join(groups.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    classes = firsts.groupBy("component").agg(F.min("doc_id").alias("class_id"), (F.count("*") - 1).alias("n_links"))
-    known = written(firsts.select("rid", "component").join(classes, "component").select(F.col("rid").alias("text_rid"), "class_id", "n_links"), "classes")
+    classes = firsts.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_texts"))
+    known = written(firsts.select("rid", "component").join(classes, "component").select(F.col("rid").alias("text_rid"), "class_id", "n_texts"), "classes")
     out = own.select("doc_id", "rid").join(known, F.col("rid") == F.col("text_rid"))
-    return out.select("doc_id", "rid", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "rid", "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
