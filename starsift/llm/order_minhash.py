@@ -7,8 +7,8 @@
 3. Candidates. Each text is first held against the text that leads most of its buckets (the smallest
    there), so that a large group of copies costs one comparison for each text. What still meets in a
    bucket from different groups is then compared by word counts in blocks; pairs whose counts rule
-   out the similarity are dropped, which loses nothing. First each text is held against the one
-   nearest by counts only, which joins what is left of large groups; then all other pairs are candidates.
+   out the similarity are dropped, which loses nothing. As long as that joins groups, each text
+   is held against the one nearest by counts only; then all other pairs are candidates.
 4. Candidates are verified by banded alignment of their words: a link is an edit similarity, 1 minus
    edit distance over the longer length, of at least LEAST. Components of links are the classes.
 """
@@ -292,12 +292,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = met.filter("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("times"))
     led = led.groupBy("rid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
     links = written(verified(led.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), words, least), "links")
-    # Then what meets in a bucket and is of different groups so far: first each text and the one
-    # nearest to it by word counts, which joins large groups by few comparisons, then all that is left.
-    for nearest in (True, False):
+    # Then what meets in a bucket and is of different groups so far: each text and the one nearest to it
+    # by word counts, as long as that joins groups, by few comparisons; then all that is left.
+    nearest = True
+    while True:
         groups = written(connected_components(links), "groups")
-        pairs = _open_pairs(met, groups, drawn, least, nearest)
-        links = written(links.unionByName(verified(pairs, words, least)), "links")
+        more = written(verified(_open_pairs(met, groups, drawn, least, nearest), words, least), "links")
+        links = links.unionByName(more)
+        if not nearest:
+            break
+        nearest = not more.isEmpty()  # again, until nothing nearest joins two groups
     groups = connected_components(links)
 
     # The smallest id of each text, then of each class.
