@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 from starsift.llm.components import connected_components
 from starsift.storage import written
 
-#: Words of a k-mer, sketches, k-mers that a sketch picks, and the least similarity of a link.
-WORDS, SKETCHES, PICKED, LEAST = 5, 32, 2, 0.8
+#: Words of a k-mer, sketches, k-mers that a sketch picks, and the least similarity of a link. One word
+#: in five changed leaves at least 3/5 of the pairs of words, so a sketch agrees with chance 0.18 or more.
+WORDS, SKETCHES, PICKED, LEAST = 2, 64, 2, 0.8
 #: Bins of the word counts that rule pairs out, and texts of a block.
 BINS, BLOCK = 256, 2048
 SEED = 20240611
 
 _rng = np.random.default_rng(SEED)
-_FACTORS = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _rng.integers(0, 2**32, SKETCHES, dtype=np.uint32)
 _PLACES = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,14 +78,13 @@ def kmers(words: np.ndarray) -> np.ndarray:
 def sketches(words: np.ndarray) -> np.ndarray:
     """SKETCHES bucket numbers of a text with at least one word."""
     grams = kmers(words)
-    x = (grams ^ _SHIFTS[:, None]) * _FACTORS[:, None]
-    x ^= x >> np.uint64(32)
+    x = ((grams >> np.uint64(16)).astype(np.uint32) ^ _SHIFTS[:, None]) * _FACTORS[:, None]
     every = np.arange(SKETCHES)
     at = []
     for _ in range(min(PICKED, len(grams))):
         least = x.argmin(axis=1)
         at.append(least)
-        x[every, least] = np.iinfo(np.uint64).max
+        x[every, least] = np.iinfo(np.uint32).max
     number = every.astype(np.uint64)
     for places in np.sort(np.stack(at), axis=0):  # in the order of the text
         gram = grams[places]
@@ -92,6 +92,11 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return number.view(np.int64)
 
 
+def allowed(n: int, least: float) -> int:
+    """Edits that a link allows where the longer text has ``n`` words."""
+    return int((1 - least) * n + 1e-9)
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most`` + 1.
 
@@ -153,7 +158,7 @@ def _banded(places: dict[int, int], m: int, b: list[int], band: int) -> int:
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     longest = max(len(a), len(b))
-    most = int((1 - least) * longest + 1e-9)
+    most = allowed(longest, least)
     return distance(a, b, most) <= most
 
 
@@ -162,16 +167,20 @@ def _words(text: str, known: _Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = _Hashes()
-    for batch in batches:
-        rows = []
-        for rid, text in zip(batch["rid"], batch["text"], strict=True):
-            words = _words(text, known)
-            if len(words):
-                counts = np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
-                rows.append((rid, len(words), sketches(words), counts.tobytes()))
-        yield pd.DataFrame(rows, columns=["rid", "n", "buckets", "counts"])
+def _sketch(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
+        for batch in batches:
+            rows = []
+            for rid, text in zip(batch["rid"], batch["text"], strict=True):
+                words = _words(text, known)
+                if len(words):
+                    counts = np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
+                    buckets = sketches(words)
+                    rows.append((rid, len(words), buckets, counts.tobytes()))
+            yield pd.DataFrame(rows, columns=["rid", "n", "buckets", "counts"])
+
+    return run
 
 
 def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
     # Copies are hashed too, which spares a shuffle of texts; the picks of one text are equal.
-    drawn = written(own.select("rid", "text").mapInPandas(_sketch, "rid long, n long, buckets array<long>, counts binary"), "sketches")
+    drawn = written(own.select("rid", "text").mapInPandas(_sketch(least), "rid long, n long, buckets array<long>, counts binary"), "sketches")
     dealt = drawn.select("rid", F.explode("buckets").alias("bucket")).distinct()
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rid").alias("leader")).filter("size > 1")
     met = written(dealt.join(shared, "bucket"), "met")

@@ -419,6 +419,21 @@ def test_near_copies_against_brute_force(spark, odd):
     assert got[901]["class_id"] == got[902]["class_id"] == 901 and got[903]["class_id"] == got[904]["class_id"] == 903
 
 
+def test_scattered_edits_share_a_bucket():
+    rng = random.Random(12)
+    words = np.random.default_rng(12).integers(0, 2**62, 5000).astype(np.uint64)
+    for n in (20, 50, 200, 500):
+        for share in (0.1, 0.15, 0.2):
+            for k in range(40):
+                text = words[rng.sample(range(5000), n)]
+                copy = text.copy()
+                edits = int(n * share)
+                # Anywhere, or at even distances, which leaves the fewest pairs of words.
+                places = rng.sample(range(n), edits) if k % 2 else [(2 * j + 1) * n // (2 * edits) for j in range(edits)]
+                copy[places] = words[rng.sample(range(5000), edits)]
+                assert (order_minhash.sketches(text) == order_minhash.sketches(copy)).any(), (n, share, k)
+
+
 def test_near_copies_odd_tables(odd, empty):
     kept = order_minhash.deduplicated(odd)
     assert kept.columns == odd.columns
