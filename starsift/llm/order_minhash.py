@@ -4,6 +4,8 @@
 2. A text's k-mers are runs of WORDS words, each labelled with the number of its earlier
    occurrences. SKETCHES times, the PICKED smallest labelled k-mers under another hash function are
    taken and kept in the order of the text; texts whose picks agree, order included, share a bucket.
+   Short texts also have a bucket for each way of leaving out as many words as a link may change: two
+   texts within that many edits have the rest in common, so no link between short texts is missed.
 3. Candidates. Each text is first held against the text that leads most of its buckets (the smallest
    there), so that a large group of copies costs one comparison for each text. What still meets in a
    bucket from different groups is then compared by word counts in blocks; pairs whose counts rule
@@ -15,6 +17,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,8 @@ from starsift.storage import written
 #: Words of a k-mer, sketches, k-mers that a sketch picks, and the least similarity of a link. One word
 #: in five changed leaves at least 3/5 of the pairs of words, so a sketch agrees with chance 0.18 or more.
 WORDS, SKETCHES, PICKED, LEAST = 2, 64, 2, 0.8
+#: Most words of a short text.
+SHORT = 19
 #: Bins of the word counts that rule pairs out, and texts of a block.
 BINS, BLOCK = 256, 2048
 SEED = 20240611
@@ -97,6 +103,25 @@ def allowed(n: int, least: float) -> int:
     return int((1 - least) * n + 1e-9)
 
 
+@functools.cache
+def _left(n: int, out: int) -> np.ndarray:
+    """The places that are left of ``n``, a row for each way of leaving ``out`` of them out."""
+    return np.array(list(itertools.combinations(range(n), n - out)), dtype=np.int64)
+
+
+def rests(words: np.ndarray, least: float) -> np.ndarray:
+    """Bucket numbers of what is left of a text when it loses up to as many words as a link allows."""
+    mixed = _mixed(words)
+    found = []
+    for out in range(min(allowed(len(words), least), len(words) - 1) + 1):
+        kept = mixed[_left(len(words), out)]
+        number = np.full(len(kept), SEED + kept.shape[1], dtype=np.uint64)
+        for word in kept.T:
+            number = _mixed((number ^ word) * _MIX)
+        found.append(number)
+    return np.unique(np.concatenate(found)).view(np.int64)
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most`` + 1.
 
@@ -177,6 +202,8 @@ def _sketch(least: float):
                 if len(words):
                     counts = np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
                     buckets = sketches(words)
+                    if len(words) <= SHORT:
+                        buckets = np.concatenate([buckets, rests(words, least)])
                     rows.append((rid, len(words), buckets, counts.tobytes()))
             yield pd.DataFrame(rows, columns=["rid", "n", "buckets", "counts"])
 

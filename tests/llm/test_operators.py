@@ -434,6 +434,32 @@ def test_scattered_edits_share_a_bucket():
                 assert (order_minhash.sketches(text) == order_minhash.sketches(copy)).any(), (n, share, k)
 
 
+def test_short_near_copies_against_brute_force(spark):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(300)]
+    texts = []
+    for n in range(1, 20):
+        for _ in range(3):
+            base = rng.choices(words, k=n)
+            texts.append(base)
+            for k in range(1 + n // 5):
+                copy = list(base)
+                copy[(n // 2 + 3 * k) % n] = "other"
+                texts.append(copy)
+                texts.append(copy[:k] + ["more"] + copy[k:])
+                texts.append(copy[:k] + copy[k + 1 :] or ["none"])
+    texts = [list(t) for t in dict.fromkeys(map(tuple, texts))]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if plain_distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert [got[k] for k in range(len(texts))] == root
+
+
 def test_near_copies_odd_tables(odd, empty):
     kept = order_minhash.deduplicated(odd)
     assert kept.columns == odd.columns
