@@ -2,8 +2,8 @@
 
 1. A character language model: trigram counts over all texts, summed in Spark. Its table is bounded
    by the alphabet (61 ** 3), whatever the size of the corpus.
-2. A word that may be disguised (signs and digits that look like letters, letters in threes or
-   more, letters set apart) becomes a lattice of what each character may stand for. Viterbi search
+2. A word that may be disguised (signs and digits that look like letters, letters in twos or
+   more, letters set apart), however long, becomes a lattice of what each character may stand for. Viterbi search
    under the language model restores the word; a word with one reading only stays as it is.
 3. The restored words of labelled documents are counted by class, whole and by their beginnings
    (and by how many distinct words share a beginning). Those that tell the classes apart, at most
@@ -44,15 +44,15 @@ SHARE, LEAST, PRIOR, TELLING, PENALTY = 0.005, 4, 4.0, 0.25, 3e-4
 #: What signs and digits may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Costs in nats: reading a sign as a letter; leaving out a digit, or a sign at an end of the word;
-#: each letter more of a run; leaving a gap open between letters set apart.
-READ, LEFT_OUT, END, REPEAT, OPEN = 1.0, 5.0, 2.0, 1.0, 3.0
-#: Longest word that is decoded; longer ones are keys, numbers or noise.
-LONGEST = 48
+#: each letter more of a run; leaving a gap open between letters set apart; reading a run of two as one
+#: letter where other letters of the word stand alone.
+READ, LEFT_OUT, END, REPEAT, OPEN, DOUBLED = 1.0, 5.0, 2.0, 1.0, 3.0, 4.0
 
 _SPACED = re.compile(r"(?<!\w)[^\W_](?:[ ._*-][^\W_](?!\w)){2,}")
 _SIGNS = re.escape("".join(LOOKS))
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{_SIGNS}]|.*([^\W\d_])\1\1)", re.S)
+_DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{_SIGNS}]|.*([^\W\d_])\1)", re.S)
+_RUN = re.compile(r"([^\W\d_])\1*")
 _ENDS = re.compile(r"^[^\w@$!|+(€£¡*]+|[^\w@$!|+(€£¡*]+$|[!$@|+(€£¡*]{3,}$|^[!$@|+(€£¡*]{3,}")
 
 #: The alphabet: 0 is what stands between words, 1 to 26 a to z, then the Latin-1 letters, last any other letter.
@@ -97,6 +97,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each place of ``word``, what it may stand for at what cost; runs of a letter are one place."""
     places: list[list[tuple[str, float]]] = []
     k, n = 0, len(word)
+    runs = [len(m.group()) for m in _RUN.finditer(word)]
+    stretched = len(runs) > 1 and min(runs) > 1  # no letter stands alone
     while k < n:
         char, end = word[k], k + 1
         if char.isalpha():
@@ -105,8 +107,10 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             run = end - k
             if run >= 3:
                 places.append([(char, 0.0), (char * 2, REPEAT), (char * run, REPEAT * run)])
+            elif run == 2:
+                places.append([(char, 0.0), (char * 2, REPEAT)] if stretched else [(char * 2, 0.0), (char, DOUBLED)])
             else:
-                places.append([(char * run, 0.0)])
+                places.append([(char, 0.0)])
         elif char in " ._-*" and 0 < k < n - 1 and word[k - 1].isalnum() and word[k + 1].isalnum() and char not in LOOKS:
             places.append([("", 0.0), (" ", OPEN)])
         elif char in LOOKS:
@@ -119,11 +123,14 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(places: list[list[tuple[str, float]]], costs: list[float]) -> str:
-    """The cheapest reading of a lattice under the language model, words apart by spaces."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest reading of a lattice under the language model, words apart by spaces.
+
+    A state keeps what it read last and the reading before, so the work is linear in the length.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for choices in [*places, [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (cost, read) in states.items():
             for chars, extra in choices:
                 p, q, total = a, b, cost + extra
                 for char in chars:
@@ -133,9 +140,18 @@ def viterbi(places: list[list[tuple[str, float]]], costs: list[float]) -> str:
                         p, q = q, c
                 known = after.get((p, q))
                 if known is None or total < known[0]:
-                    after[p, q] = (total, text + chars)
+                    after[p, q] = (total, (read, chars))
         states = after
-    return min(states.values())[1]
+    least = min(cost for cost, _ in states.values())
+    return min(_text(read) for cost, read in states.values() if cost == least)
+
+
+def _text(read: tuple) -> str:
+    parts = []
+    while read:
+        read, chars = read
+        parts.append(chars)
+    return "".join(reversed(parts))
 
 
 def restore(token: str, costs: list[float]) -> list[str]:
@@ -146,7 +162,7 @@ def restore(token: str, costs: list[float]) -> list[str]:
     spaced = " " in token
     if not spaced:
         token = _ENDS.sub("", token)
-    if len(token) <= LONGEST and (spaced or _DISGUISED.match(token) or _SPACED.search(token)):
+    if spaced or _DISGUISED.match(token) or _SPACED.search(token):
         token = viterbi(lattice(token), costs)
     return _LETTERS.findall(token)
 

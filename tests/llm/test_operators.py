@@ -101,6 +101,18 @@ def test_viterbi_is_the_cheapest_path():
     assert toxicity.viterbi(places, costs).split() == best[0].split()
 
 
+def test_toxicity_restores_long_disguises(spark):
+    words = "you are such a stupid idiot and a moron said the losers of this letter committee with scum".split()
+    rng = random.Random(0)
+    text = [(k, " ".join(rng.choices(words, k=40))) for k in range(200)]
+    costs = toxicity.language_model(spark.createDataFrame(text, "doc_id long, text string"))
+    phrase = "you are such a stupid idiot and moron you losers said the scum of this"
+    (spaced,) = (t for t in toxicity.tokens(" ".join(phrase.replace(" ", ""))) if " " in t)
+    assert len(spaced) > 100 and {"stupid", "idiot", "moron", "losers", "scum"} <= set(toxicity.restore(spaced, costs))
+    for token, word in (("i" * 60 + "d10t", "idiot"), ("stu" + "p" * 5000 + "id", "stupid"), ("iiddiioott", "idiot"), ("ssttuuppiidd", "stupid"), ("iidiiot", "idiot"), ("letter", "letter"), ("committee", "committee")):
+        assert toxicity.restore(token, costs) == [word], token[:60]
+
+
 def test_toxicity_odd_tables(odd, empty, labels):
     kept = toxicity.clean(odd, labels)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
