@@ -5,7 +5,9 @@ frac(i * phi) of [0, 1); the cumulative weights of the sources cut [0, 1) into i
 slot goes to the source in whose interval its point lies, so every stretch of the sequence has
 each source nearly at its weight. The k-th slot of a source takes the k-th block of equal token
 count of that source's shuffled documents; after the last document a second pass begins, shuffled
-anew. Nothing is drawn at random: orders come from MD5 of pass and document id.
+anew. A source gets as many slots as its target has blocks, the last taken in part: slots beyond
+that stay empty, and slots that the points leave out are put in at even distances. So each source
+meets its target to the word, however small it is beside the block. Nothing is drawn at random: orders come from MD5 of pass and document id.
 
 Ranks and running sums over a source go by two levels (parts of a source, then rows of a part), so
 a source that holds a third of all rows is no single task's work.
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from starsift.storage import written
 
-#: Slots of the schedule; a block has 1/SLOTS of the mix, which bounds the error of a source.
-SLOTS = 1 << 17
+#: Slots of the schedule on smaller corpora; words of a block at most, so that on larger ones the slots grow with the mix.
+SLOTS, WIDTH = 1 << 17, 1024
 #: Fractional part of the golden ratio, the step from point to point.
 GOLDEN = 0.6180339887498949
 #: Slots of a part when slots are ranked, and cells into which [0, 1) is cut to find a point's source.
@@ -91,6 +93,26 @@ def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     return _levels(dealt, "one", "part", ["slot"], "rank").select("slot", "nth", "rank")
 
 
+def block_width(total: float, slots: int = SLOTS) -> int:
+    """Words of a block where the mix has ``total``."""
+    return min(WIDTH, max(1, math.ceil(total / slots)))
+
+
+def filled(sources: DataFrame, slots: int, width: int) -> DataFrame:
+    """(slot, nth, block, words): the schedule with exactly the blocks that each target needs.
+
+    ``words`` is the width but in the last block of a source, which has what is left of the target.
+    """
+    due = sources.select("nth", F.round("target").cast("long").alias("due")).filter("due > 0").withColumn("blocks", F.ceil(F.col("due") / width))
+    dealt = written(schedule(sources, slots), "schedule")
+    met = dealt.groupBy("nth").agg(F.count("*").alias("met"))
+    lacking = due.join(met, "nth", "left").withColumn("met", F.coalesce("met", F.lit(0))).filter("met < blocks")
+    lacking = lacking.withColumn("block", F.explode(F.sequence(F.col("met"), F.col("blocks") - 1)))
+    lacking = lacking.select(F.floor((F.col("block") + 0.5) * slots / F.col("blocks")).alias("slot"), "nth", "block", "due")
+    kept = dealt.join(due, "nth").filter("rank < blocks").select("slot", "nth", F.col("rank").cast("long").alias("block"), "due")
+    return kept.unionByName(lacking).select("slot", "nth", "block", F.least(F.lit(width), F.col("due") - F.col("block") * width).alias("words"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, slots: int = SLOTS) -> DataFrame:
     """(row, doc_id, size, source_size, target, taken, taken_1, taken_2) for every row of ``docs``.
 
@@ -105,7 +127,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = written(sized, "sizes")
     sources = written(targets(sized), "targets")
     total = sources.agg(F.sum("target")).first()[0] or 0.0
-    width = max(1, math.ceil(total / slots))
+    width = block_width(total, slots)
     # Spark broadcasts the sources only where the written table is under its threshold.
     own = sized.join(sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
     passes = own.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(PASSES))))
@@ -114,9 +136,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = _levels(passes, "size", "part", ["key", "size", "content", "row"], "start")
     end = F.col("start") + F.col("size")
     pieces = placed.select("row", "nth", "pass", "start", end.alias("end"), F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(start + size - 1) div {width}"))).alias("block"))
-    slots_of = schedule(sources, math.ceil(total / width))
-    taken = pieces.join(slots_of.select("nth", F.col("rank").alias("block")), ["nth", "block"])
-    part = F.least("end", (F.col("block") + 1) * width) - F.greatest("start", F.col("block") * width)
+    taken = pieces.join(filled(sources, math.ceil(total / width), width).select("nth", "block", "words"), ["nth", "block"])
+    part = F.greatest(F.least("end", F.col("block") * width + F.col("words")) - F.greatest("start", F.col("block") * width), F.lit(0))
     sums = taken.groupBy("row").agg(*(F.sum(F.when(F.col("pass") == k, part)).alias(f"taken_{k}") for k in range(1, PASSES + 1)))
     out = own.select("row", "doc_id", "size", "source_size", "target").join(sums, "row", "left")
     out = out.withColumns({f"taken_{k}": F.coalesce(f"taken_{k}", F.lit(0)) for k in range(1, PASSES + 1)})

@@ -538,6 +538,21 @@ def test_schedule_keeps_its_shares(spark):
             assert abs(sum(r["slot"] < upto for r in own) - share * upto) < 6
 
 
+def test_tiny_source_beside_a_huge_one(spark):
+    # 3000 huge documents and sources of 1 to 40 words; a block has 500 words and more.
+    huge = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a big source").alias("source"), F.repeat(F.lit("word "), 400).alias("text"))
+    tiny = spark.createDataFrame([(10_000 + k, f"b{k:02}" if k else None, "x " * (1 + k)) for k in range(40)], "doc_id long, source string, text string")
+    got = mixing.mix(huge.unionByName(tiny), slots=3000).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert len(got) == 41
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= 0.5, r
+
+
+def test_blocks_do_not_grow_with_the_corpus(spark):
+    assert mixing.block_width(1e6, mixing.SLOTS) == 8
+    assert mixing.block_width(1e10, mixing.SLOTS) == mixing.WIDTH
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------
 
 BASE = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
