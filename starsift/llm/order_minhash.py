@@ -1,18 +1,20 @@
 """Near-duplicate documents by Order MinHash.
 
-1. Documents of equal text become one text, named by its hash.
+1. Documents of equal text become one text, told apart by two 64-bit hashes, and get a number.
 2. A text's k-mers are runs of WORDS words, each labelled with the number of its earlier
    occurrences. SKETCHES times, the PICKED smallest labelled k-mers under another hash function are
    taken and kept in the order of the text; texts whose picks agree, order included, share a bucket.
    Short texts also have a bucket for each way of leaving out as many words as a link may change: two
    texts within that many edits have the rest in common, so no link between short texts is missed.
-3. Candidates. Each text is first held against the text that leads most of its buckets (the smallest
-   there), so that a large group of copies costs one comparison for each text. What still meets in a
-   bucket from different groups is then compared by word counts in blocks; pairs whose counts rule
-   out the similarity are dropped, which loses nothing. As long as that joins groups, each text
-   is held against the one nearest by counts only; then all other pairs are candidates.
-4. Candidates are verified by banded alignment of their words: a link is an edit similarity, 1 minus
+3. Leaders. Each bucket's smallest text leads it. A text is verified against every text that leads
+   two or more of its buckets, so a large group of copies costs each text a few comparisons.
+4. What still meets in a bucket from different groups is compared in blocks, by the number of
+   sketches that agree (AGREE at least), by lengths and by word counts, which rule out no link. A pair
+   leaves the task of its first common bucket only, and is verified.
+5. Candidates are verified by banded alignment of their words: a link is an edit similarity, 1 minus
    edit distance over the longer length, of at least LEAST. Components of links are the classes.
+
+Words are compared by 32 bits of a hash of their bytes.
 """
 
 from __future__ import annotations
@@ -23,9 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starsift.llm.components import connected_components
@@ -33,28 +34,38 @@ from starsift.storage import written
 
 #: Words of a k-mer, sketches, k-mers that a sketch picks, and the least similarity of a link. One word
 #: in five changed leaves at least 3/5 of the pairs of words, so a sketch agrees with chance 0.18 or more.
-WORDS, SKETCHES, PICKED, LEAST = 2, 64, 2, 0.8
-#: Most words of a short text.
-SHORT = 19
+WORDS, SKETCHES, PICKED, LEAST = 2, 48, 2, 0.8
+#: Sketches in which two texts of LONG words or more agree at least, if they are compared. At a chance
+#: of 0.18 for each sketch, one pair in 1200 has fewer.
+AGREE, LONG = 2, 20
+#: Most words of a short text, whose links are all found.
+SHORT = 14
 #: Bins of the word counts that rule pairs out, and texts of a block.
 BINS, BLOCK = 256, 2048
+#: Bytes of a text that are hashed at once.
+CHUNK = 1 << 20
 SEED = 20240611
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _rng.integers(0, 2**32, SKETCHES, dtype=np.uint32)
 _PLACES = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: White space of ASCII, as str.split() has it; it counts nothing in a hash.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_BYTES[_SPACE] = 0
+#: Base of the hash of a word's bytes, and its inverse modulo 2 ** 64.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept for words met before."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+@functools.cache
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -62,6 +73,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of ``text``, words being set apart as by str.split()."""
+    data = np.frombuffer((text if text.isascii() else " ".join(text.split())).encode(), dtype=np.uint8)
+    space = _SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    starts = np.flatnonzero(first)
+    out = np.empty(len(starts), dtype=np.uint64)
+    k = 0
+    while k < len(starts):  # a chunk of whole words, or one longer word
+        at = int(starts[k])
+        end = max(k + 1, int(np.searchsorted(starts, at + CHUNK)))
+        stop = int(starts[end]) if end < len(starts) else len(data)
+        size = 1 << max(12, (stop - at - 1).bit_length())
+        own = starts[k:end] - at
+        sums = np.add.reduceat(_BYTES[data[at:stop]] * _powers(_BASE, size)[: stop - at], own)
+        out[k:end] = sums * _powers(_INVERSE, size)[own]
+        k = end
+    return _mixed(out)
+
+
 def kmers(words: np.ndarray) -> np.ndarray:
     """Hashes of the runs of WORDS words (of all words where there are fewer), labelled by occurrence."""
     k = min(WORDS, len(words))
@@ -182,46 +214,40 @@ def _banded(places: dict[int, int], m: int, b: list[int], band: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
+    """Whether the edit similarity of two sequences is at least ``least``."""
     longest = max(len(a), len(b))
     most = allowed(longest, least)
+    if longest - min(len(a), len(b)) > most:
+        return False
+    kinds, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    counts = np.bincount(places[: len(a)], minlength=len(kinds)), np.bincount(places[len(a) :], minlength=len(kinds))
+    if longest - int(np.minimum(*counts).sum()) > most:  # words that the other text lacks
+        return False
     return distance(a, b, most) <= most
 
 
-def _words(text: str, known: _Hashes) -> np.ndarray:
-    found = text.split()
-    return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
-
+def _draw(least: float):
+    """For distinct texts: number of words, buckets, and the words as 32 bits each, compressed."""
 
-def _sketch(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             rows = []
-            for rid, text in zip(batch["rid"], batch["text"], strict=True):
-                words = _words(text, known)
-                if len(words):
-                    counts = np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
-                    buckets = sketches(words)
-                    if len(words) <= SHORT:
-                        buckets = np.concatenate([buckets, rests(words, least)])
-                    rows.append((rid, len(words), buckets, counts.tobytes()))
-            yield pd.DataFrame(rows, columns=["rid", "n", "buckets", "counts"])
+            for text in batch["text"]:
+                words = word_hashes(text)
+                buckets = sketches(words) if len(words) else np.empty(0, dtype=np.int64)
+                if 0 < len(words) <= SHORT:
+                    buckets = np.concatenate([buckets, rests(words, least)])
+                rows.append((len(words), buckets, pack.compress((words >> np.uint64(32)).astype("<u4").tobytes())))
+            made = pd.DataFrame(rows, columns=["n", "buckets", "words"])
+            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), made], axis=1)
 
     return run
 
 
-def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of texts as three bytes each, compressed."""
-    known = _Hashes()
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        out = [pack.compress(np.ascontiguousarray(_words(t, known).view(np.uint8).reshape(-1, 8)[:, 3:6]).tobytes()) for t in batch["text"]]
-        yield pd.DataFrame({"rid": batch["rid"], "words": out})
-
-
 def _sequence(packed: bytes) -> np.ndarray:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(packed), dtype=np.uint8).reshape(-1, 3).astype(np.int64)
-    return data[:, 0] | data[:, 1] << 8 | data[:, 2] << 16
+    data = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+    return np.frombuffer(data, dtype="<u4").astype(np.int64)
 
 
 def _verify(least: float):
@@ -233,18 +259,25 @@ def _verify(least: float):
     return run
 
 
-def verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose edit similarity is at least ``least``."""
-    first = sequences.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
-    second = sequences.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of numbers of ``texts`` whose edit similarity is at least ``least``."""
+    first = texts.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
+    second = texts.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
     return pairs.join(first, "a").join(second, "b").mapInPandas(_verify(least), "a long, b long")
 
 
-def _rule_out(least: float, nearest: bool):
-    """Pairs of different groups in a block pair whose word counts allow the similarity.
+def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What rules pairs out: 16 bits of each sketch, and the word counts by bin."""
+    for batch in batches:
+        signs, counts = [], []
+        for buckets, packed in zip(batch["buckets"], batch["words"], strict=True):
+            signs.append(np.asarray(buckets[:SKETCHES], dtype=np.int64).astype("<u2").tobytes())
+            counts.append(np.minimum(np.bincount(_sequence(packed) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
+        yield pd.DataFrame({"rid": batch["rid"], "n": batch["n"], "signs": signs, "counts": counts})
 
-    With ``nearest`` each text gives only the pair whose counts differ least.
-    """
+
+def _rule_out(least: float):
+    """Pairs of different groups in a block pair that may be links, at their first common sketch."""
     keys = ["bucket", "low", "high"]
 
     def one(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -254,22 +287,27 @@ def _rule_out(least: float, nearest: bool):
         b = a if low == high else np.flatnonzero(~first)
         if not len(a) or not len(b):
             return
-        rid, group, n = rows["rid"].to_numpy(), rows["group"].to_numpy(), rows["n"].to_numpy()
+        rid, group, n, sketch = (rows[c].to_numpy() for c in ("rid", "group", "n", "sketch"))
+        signs = np.frombuffer(b"".join(rows["signs"]), dtype="<u2").reshape(-1, SKETCHES)
         counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
         for i in a:
             j = b[group[b] != group[i]]
-            if low == high and not nearest:
+            if low == high:
                 j = j[j > i]
             most = (1 - least) * np.maximum(n[j], n[i]) + 1e-9
-            j, most = j[np.abs(n[j] - n[i]) <= most], most[np.abs(n[j] - n[i]) <= most]
+            near = np.abs(n[j] - n[i]) <= most
+            j, most = j[near], most[near]
+            agree = signs[j] == signs[i]
+            times = agree.sum(axis=1)
+            near = times >= np.where(np.minimum(n[j], n[i]) < LONG, 0, AGREE)
+            if sketch[i] >= 0:  # else a bucket of short texts; those pairs may repeat
+                near &= agree.argmax(axis=1) == sketch[i]
+            j, most = j[near], most[near]
             over = counts[j] - counts[i]
             lost = np.maximum(np.where(over > 0, over, 0).sum(axis=1), np.where(over < 0, -over, 0).sum(axis=1))
-            good = lost <= most
-            j = j[good]
-            if nearest and len(j):
-                j = j[np.lexsort((rid[j], lost[good] / most[good]))[:1]]
+            j = j[lost <= most]
             if len(j):
-                yield pd.DataFrame({"a": np.minimum(rid[j], rid[i]), "b": np.maximum(rid[j], rid[i])})
+                yield pd.DataFrame({"a": np.minimum(rid[j], rid[i]), "b": np.maximum(rid[j], rid[i]), "group_a": np.where(rid[j] < rid[i], group[j], group[i]), "group_b": np.where(rid[j] < rid[i], group[i], group[j])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -286,71 +324,95 @@ def _rule_out(least: float, nearest: bool):
     return run
 
 
-def _open_pairs(met: DataFrame, groups: DataFrame, drawn: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """Candidates (a, b) of different groups among texts that share a bucket.
+def _open_pairs(met: DataFrame, groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Candidates (a, b, group_a, group_b) of different groups among texts that share a bucket.
 
     The largest group of a bucket is never held against itself: its blocks meet those of the rest.
     """
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = met.select("bucket", "rid").join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("component", "rid")).drop("component")
+    grouped = met.select("bucket", "sketch", "rid").join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("component", "rid")).drop("component")
     sizes = grouped.groupBy("bucket", "group").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.max("size").alias("most"), (F.sum("size") - F.max("size")).alias("rest")).filter("rest > 0")
     mixed = mixed.select("bucket", "main", F.ceil(F.col("rest") / BLOCK).alias("blocks"), F.ceil(F.col("most") / BLOCK).alias("main_blocks"))
-    rows = grouped.join(mixed, "bucket").join(drawn.select("rid", "n", "counts").dropDuplicates(["rid"]), "rid")
+    rows = written(grouped.join(mixed, "bucket"), "open")
+    signs = texts.join(rows.select("rid").distinct(), "rid", "left_semi").select("rid", "n", "buckets", "words").mapInPandas(_signs, "rid long, n long, signs binary, counts binary")
+    rows = rows.join(signs, "rid")
     draw = F.xxhash64("rid")
     is_main = F.col("group") == F.col("main")
     rows = rows.withColumn("own", F.when(is_main, F.col("blocks") + F.pmod(draw, "main_blocks")).otherwise(F.pmod(draw, "blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1 + F.when(is_main, 0).otherwise(F.col("main_blocks")))))
-    rows = rows.select("bucket", "rid", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "counts")
+    rows = rows.select("bucket", "sketch", "rid", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "signs", "counts")
     keys = ["bucket", "low", "high"]
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_rule_out(least, nearest), "a long, b long").distinct()
+    pairs = rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_rule_out(least), "a long, b long, group_a long, group_b long")
+    return written(pairs.dropDuplicates(["a", "b"]), "pairs")
+
+
+def _key(text: Column) -> list[Column]:
+    """Two hashes that tell texts apart, named text_hash and text_check."""
+    return [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit("check"), text).alias("text_check")]
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(text_hash, text_check, rid, class_id, n_texts, chosen) of every distinct text of ``docs``.
+
+    ``chosen`` marks the text that stays of a class: of those that have a document ``class_id`` the first.
+    """
+    text = _text(text_col)
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *_key(text))
+    # Copies are joined before they are shuffled. The number of a text is written once and then read.
+    distinct = own.groupBy("text_hash", "text_check").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    kind = dict(distinct.dtypes)["first_id"]
+    texts = written(distinct.mapInPandas(_draw(least), f"text_hash long, text_check long, first_id {kind}, rid long, n long, buckets array<long>, words binary"), "texts")
+
+    dealt = texts.select("rid", "n", F.posexplode("buckets").alias("sketch", "bucket")).withColumn("sketch", F.when(F.col("sketch") < SKETCHES, F.col("sketch")).otherwise(-1))
+    shared = dealt.groupBy("bucket").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).filter("leader <> last").drop("last")
+    met = written(dealt.join(shared, "bucket"), "met")
+
+    # Each text and those that lead its buckets, two at least where a link has as many.
+    led = met.filter("rid <> leader").groupBy("leader", "rid").agg(F.count("*").alias("times"), F.min("n").alias("n")).filter((F.col("times") >= AGREE) | (F.col("n") < LONG))
+    links = written(verified(led.select(F.col("leader").alias("a"), F.col("rid").alias("b")), texts, least), "links")
+    groups = written(connected_components(links), "groups")
+    # Then what meets in a bucket and is of different groups so far.
+    pairs = _open_pairs(met, groups, texts, least)
+    more = verified(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"]).select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
+    merged = connected_components(written(more.distinct(), "links"))
+
+    # The component of each text, then the smallest id of each component.
+    group = F.coalesce("component", "rid")
+    labelled = texts.select("text_hash", "text_check", "rid", "first_id").join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", group).drop("component")
+    labelled = labelled.join(merged.withColumnRenamed("node", "group"), "group", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
+    best = F.struct(F.col("first_id").isNull().alias("lacks"), F.col("first_id"), F.col("rid"))
+    classes = labelled.groupBy("group").agg(F.min(best).alias("best"), F.count("*").alias("n_texts"))
+    out = labelled.join(classes, "group")
+    return written(out.select("text_hash", "text_check", "rid", F.col("best.first_id").alias("class_id"), "n_texts", (F.col("rid") == F.col("best.rid")).alias("chosen")), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, rid, class_id, n_texts, kept) for every row of ``docs``.
 
     ``class_id`` is the smallest doc_id of the class, ``n_texts`` the number of different texts of the
-    class, ``kept`` marks its rows with that id. Rows of equal text (null counts as empty) are one
-    class. A text without words is near to no other text; texts of fewer than 1 / (1 - least) words
-    are near if their words are equal. Repeated rows share a class; an empty table gives no rows.
+    class, ``kept`` marks its rows with that id; ``rid`` is the text's number, another at each run. Rows
+    of equal text (null counts as empty) are one class. A text without words is near to no other text;
+    texts of fewer than 1 / (1 - least) words are near if their words are equal. A class of rows without
+    an id has the id null. Repeated rows share a class; other columns of ``docs`` change nothing,
+    whatever their names; very long texts are compared whole; an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
-    # Copies are hashed too, which spares a shuffle of texts; the picks of one text are equal.
-    drawn = written(own.select("rid", "text").mapInPandas(_sketch(least), "rid long, n long, buckets array<long>, counts binary"), "sketches")
-    dealt = drawn.select("rid", F.explode("buckets").alias("bucket")).distinct()
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rid").alias("leader")).filter("size > 1")
-    met = written(dealt.join(shared, "bucket"), "met")
-    needed = met.select("rid").distinct()
-    words = written(own.select("rid", "text").mapInPandas(_sequences, "rid long, words binary").join(needed, "rid", "left_semi").dropDuplicates(["rid"]), "words")
-
-    # First, each text and the one that leads most of its buckets.
-    led = met.filter("rid <> leader").groupBy("rid", "leader").agg(F.count("*").alias("times"))
-    led = led.groupBy("rid").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    links = written(verified(led.select(F.least("rid", "leader").alias("a"), F.greatest("rid", "leader").alias("b")).distinct(), words, least), "links")
-    # Then what meets in a bucket and is of different groups so far: each text and the one nearest to it
-    # by word counts, as long as that joins groups, by few comparisons; then all that is left.
-    nearest = True
-    while True:
-        groups = written(connected_components(links), "groups")
-        more = written(verified(_open_pairs(met, groups, drawn, least, nearest), words, least), "links")
-        links = links.unionByName(more)
-        if not nearest:
-            break
-        nearest = not more.isEmpty()  # again, until nothing nearest joins two groups
-    groups = connected_components(links)
-
-    # The smallest id of each text, then of each class.
-    firsts = own.groupBy("rid").agg(F.min("doc_id").alias("doc_id")).join(groups.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    classes = firsts.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_texts"))
-    known = written(firsts.select("rid", "component").join(classes, "component").select(F.col("rid").alias("text_rid"), "class_id", "n_texts"), "classes")
-    out = own.select("doc_id", "rid").join(known, F.col("rid") == F.col("text_rid"))
-    return out.select("doc_id", "rid", "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    found = _classes(docs, id_col, text_col, least)
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *_key(_text(text_col)))
+    return own.join(found, ["text_hash", "text_check"]).select("doc_id", "rid", "class_id", "n_texts", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """One row of ``docs`` for each class of near copies, with the columns of ``docs``."""
-    kept = near_duplicates(docs, id_col, text_col, least).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("rid").alias("kept_rid")).distinct()
-    rid = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    joined = docs.withColumn("own_rid", rid).join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("own_rid") == F.col("kept_rid")), "left_semi")
-    return joined.dropDuplicates([id_col, "own_rid"]).select(docs.columns)
+    """One row of ``docs`` for each class of near copies, with the columns of ``docs`` whatever their names.
+
+    It is a row with the smallest id of the class (rows without an id come last), of rows with that id
+    the one whose text was numbered first, of equal ones any. See ``near_duplicates`` for odd rows.
+    """
+    chosen = _classes(docs, id_col, text_col, least).filter("chosen").select("text_hash", "text_check", "class_id")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{id_col}`").alias("own_id"), *_key(_text(text_col)))
+    joined = own.join(chosen, ["text_hash", "text_check"]).filter(F.col("own_id").eqNullSafe(F.col("class_id")))
+    return joined.dropDuplicates(["text_hash", "text_check"]).select("own.*")
