@@ -9,8 +9,10 @@
 3. Leaders. Each bucket's smallest text leads it. A text is verified against every text that leads
    two or more of its buckets, so a large group of copies costs each text a few comparisons.
 4. What still meets in a bucket from different groups is compared in blocks, by the number of
-   sketches that agree (AGREE at least), by lengths and by word counts, which rule out no link. A pair
-   leaves the task of its first common bucket only, and is verified.
+   sketches that agree (AGREE at least), by lengths and by word counts, which rule out no link. First,
+   ROUNDS times, each text of a large bucket is verified against the nearest by agreeing sketches only, which
+   joins most of a family at one comparison a text. Then all pairs that are left are verified; a pair
+   leaves the task of its first common bucket only.
 5. Candidates are verified by banded alignment of their words: a link is an edit similarity, 1 minus
    edit distance over the longer length, of at least LEAST. Components of links are the classes.
 
@@ -40,10 +42,12 @@ WORDS, SKETCHES, PICKED, LEAST = 2, 48, 2, 0.8
 AGREE, LONG = 2, 20
 #: Most words of a short text, whose links are all found.
 SHORT = 14
-#: Bins of the word counts that rule pairs out, and texts of a block.
-BINS, BLOCK = 256, 2048
+#: Bins of the word counts that rule pairs out, texts of a block, and rows of a small block pair.
+BINS, BLOCK, SMALL = 256, 2048, 32
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 20
+#: Rounds of nearest pairs in large buckets.
+ROUNDS = 2
 SEED = 20240611
 
 _rng = np.random.default_rng(SEED)
@@ -227,7 +231,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 
 
 def _draw(least: float):
-    """For distinct texts: number of words, buckets, and the words as 32 bits each, compressed."""
+    """For distinct texts: number of words, buckets, the words as 32 bits each, compressed, and what rules
+    pairs out: 16 bits of each sketch, and the word counts by bin."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -236,10 +241,13 @@ def _draw(least: float):
             for text in batch["text"]:
                 words = word_hashes(text)
                 buckets = sketches(words) if len(words) else np.empty(0, dtype=np.int64)
+                signs = buckets.astype("<u2").tobytes()
                 if 0 < len(words) <= SHORT:
                     buckets = np.concatenate([buckets, rests(words, least)])
-                rows.append((len(words), buckets, pack.compress((words >> np.uint64(32)).astype("<u4").tobytes())))
-            made = pd.DataFrame(rows, columns=["n", "buckets", "words"])
+                words = words >> np.uint64(32)
+                counts = np.minimum(np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+                rows.append((len(words), buckets, pack.compress(words.astype("<u4").tobytes()), signs, counts.tobytes()))
+            made = pd.DataFrame(rows, columns=["n", "buckets", "words", "signs", "counts"])
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), made], axis=1)
 
     return run
@@ -261,53 +269,66 @@ def _verify(least: float):
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of numbers of ``texts`` whose edit similarity is at least ``least``."""
-    first = texts.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
-    second = texts.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    # The words of these texts alone are written, and then read once for each side.
+    words = written(texts.select("rid", "words").join(needed, "rid", "left_semi"), "words")
+    first = words.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
+    second = words.select(F.col("rid").alias("b"), F.col("words").alias("words_b"))
     return pairs.join(first, "a").join(second, "b").mapInPandas(_verify(least), "a long, b long")
 
 
-def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What rules pairs out: 16 bits of each sketch, and the word counts by bin."""
-    for batch in batches:
-        signs, counts = [], []
-        for buckets, packed in zip(batch["buckets"], batch["words"], strict=True):
-            signs.append(np.asarray(buckets[:SKETCHES], dtype=np.int64).astype("<u2").tobytes())
-            counts.append(np.minimum(np.bincount(_sequence(packed) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
-        yield pd.DataFrame({"rid": batch["rid"], "n": batch["n"], "signs": signs, "counts": counts})
+def _rule_out(least: float, nearest: bool):
+    """Pairs of different groups in a block pair that may be links, at their first common sketch.
 
-
-def _rule_out(least: float):
-    """Pairs of different groups in a block pair that may be links, at their first common sketch."""
+    With ``nearest`` each text of the smaller side gives only the pair of which most sketches agree.
+    """
     keys = ["bucket", "low", "high"]
 
-    def one(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
-        first = (rows["own"] == low).to_numpy()
-        a = np.flatnonzero(first)
-        b = a if low == high else np.flatnonzero(~first)
-        if not len(a) or not len(b):
-            return
-        rid, group, n, sketch = (rows[c].to_numpy() for c in ("rid", "group", "n", "sketch"))
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Of whole block pairs, one after the other."""
+        rid, group, n, sketch, own, low, high = (rows[c].to_numpy() for c in ("rid", "group", "n", "sketch", "own", "low", "high"))
         signs = np.frombuffer(b"".join(rows["signs"]), dtype="<u2").reshape(-1, SKETCHES)
-        counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
-        for i in a:
-            j = b[group[b] != group[i]]
-            if low == high:
-                j = j[j > i]
+        counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(-1, BINS)
+        change = (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)
+        ends = np.append(np.flatnonzero(change) + 1, len(rows))
+        sizes = np.diff(ends, prepend=0)
+
+        def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            end = np.repeat(np.where((sizes > SMALL) | nearest, 0, ends), sizes)
+            at = np.arange(len(rows))
+            for d in range(1, SMALL):  # of small block pairs together, each row and the d-th after it
+                at = at[at + d < end[at]]
+                yield at, at + d
+            large = (sizes > SMALL) | nearest
+            for size, end in zip(sizes[large], ends[large], strict=True):
+                every = np.arange(end - size, end)
+                one, other = every[own[every] == low[end - 1]], every[own[every] != low[end - 1]]
+                if low[end - 1] == high[end - 1]:
+                    yield from ((every[k : k + 1], every if nearest else every[k + 1 :]) for k in range(size))
+                else:
+                    one, other = (one, other) if len(one) < len(other) else (other, one)
+                    yield from ((one[k : k + 1], other) for k in range(len(one)))
+
+        for i, j in met():
+            good = (group[i] != group[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
+            i, j = np.broadcast_to(i, good.shape)[good], np.broadcast_to(j, good.shape)[good]
             most = (1 - least) * np.maximum(n[j], n[i]) + 1e-9
             near = np.abs(n[j] - n[i]) <= most
-            j, most = j[near], most[near]
+            i, j, most = i[near], j[near], most[near]
             agree = signs[j] == signs[i]
             times = agree.sum(axis=1)
-            near = times >= np.where(np.minimum(n[j], n[i]) < LONG, 0, AGREE)
-            if sketch[i] >= 0:  # else a bucket of short texts; those pairs may repeat
-                near &= agree.argmax(axis=1) == sketch[i]
-            j, most = j[near], most[near]
-            over = counts[j] - counts[i]
+            if nearest:
+                near = np.lexsort((rid[j], -times))[:1]
+            else:  # pairs of a bucket that is no sketch, of short texts, may repeat
+                near = (times >= np.where(np.minimum(n[j], n[i]) < LONG, 0, AGREE)) & ((sketch[i] < 0) | (agree.argmax(axis=1) == sketch[i]))
+            i, j, most = i[near], j[near], most[near]
+            over = counts[j].astype(np.int16) - counts[i]
             lost = np.maximum(np.where(over > 0, over, 0).sum(axis=1), np.where(over < 0, -over, 0).sum(axis=1))
-            j = j[lost <= most]
-            if len(j):
-                yield pd.DataFrame({"a": np.minimum(rid[j], rid[i]), "b": np.maximum(rid[j], rid[i]), "group_a": np.where(rid[j] < rid[i], group[j], group[i]), "group_b": np.where(rid[j] < rid[i], group[i], group[j])})
+            i, j = i[lost <= most], j[lost <= most]
+            if len(i):
+                turned = rid[i] > rid[j]
+                i, j = np.where(turned, j, i), np.where(turned, i, j)
+                yield pd.DataFrame({"a": rid[i], "b": rid[j], "group_a": group[i], "group_b": group[j]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -315,38 +336,45 @@ def _rule_out(least: float):
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
-            for _, some in rows[~last].groupby(keys, sort=False):
-                yield from one(some)
+            yield from pairs(rows[~last])
             held = rows[last]
         if held is not None:
-            yield from one(held)
+            yield from pairs(held)
 
     return run
 
 
-def _open_pairs(met: DataFrame, groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _open_pairs(met: DataFrame, groups: DataFrame, texts: DataFrame, least: float, nearest: bool) -> DataFrame:
     """Candidates (a, b, group_a, group_b) of different groups among texts that share a bucket.
 
+    ``groups`` has (rid, group) of texts that are in a group of several. With ``nearest`` a pair for each text of large buckets.
     The largest group of a bucket is never held against itself: its blocks meet those of the rest.
     """
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = met.select("bucket", "sketch", "rid").join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("component", "rid")).drop("component")
+    grouped = met.select("bucket", "sketch", "rid").join(groups, "rid", "left").withColumn("group", F.coalesce("group", "rid"))
     sizes = grouped.groupBy("bucket", "group").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.max("size").alias("most"), (F.sum("size") - F.max("size")).alias("rest")).filter("rest > 0")
+    mixed = mixed.filter(F.col("most") + F.col("rest") > SMALL) if nearest else mixed
     mixed = mixed.select("bucket", "main", F.ceil(F.col("rest") / BLOCK).alias("blocks"), F.ceil(F.col("most") / BLOCK).alias("main_blocks"))
-    rows = written(grouped.join(mixed, "bucket"), "open")
-    signs = texts.join(rows.select("rid").distinct(), "rid", "left_semi").select("rid", "n", "buckets", "words").mapInPandas(_signs, "rid long, n long, signs binary, counts binary")
-    rows = rows.join(signs, "rid")
+    rows = grouped.join(mixed, "bucket").join(texts.select("rid", "n", "signs", "counts"), "rid")
     draw = F.xxhash64("rid")
     is_main = F.col("group") == F.col("main")
     rows = rows.withColumn("own", F.when(is_main, F.col("blocks") + F.pmod(draw, "main_blocks")).otherwise(F.pmod(draw, "blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1 + F.when(is_main, 0).otherwise(F.col("main_blocks")))))
     rows = rows.select("bucket", "sketch", "rid", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "signs", "counts")
     keys = ["bucket", "low", "high"]
-    pairs = rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_rule_out(least), "a long, b long, group_a long, group_b long")
+    pairs = rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_rule_out(least, nearest), "a long, b long, group_a long, group_b long")
     return written(pairs.dropDuplicates(["a", "b"]), "pairs")
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, group) once ``links`` (group_a, group_b) join groups, or texts that were in none."""
+    merged = written(connected_components(links, "group_a", "group_b").toDF("node", "component"), "merged")
+    moved = groups.join(merged, F.col("group") == F.col("node"), "left").select("rid", F.coalesce("component", "group").alias("group"))
+    alone = merged.join(groups.select("group").distinct(), F.col("node") == F.col("group"), "left_anti").select(F.col("node").alias("rid"), F.col("component").alias("group"))
+    return written(moved.unionByName(alone), "groups")
+
+
 def _key(text: Column) -> list[Column]:
     """Two hashes that tell texts apart, named text_hash and text_check."""
     return [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit("check"), text).alias("text_check")]
@@ -366,7 +394,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     # Copies are joined before they are shuffled. The number of a text is written once and then read.
     distinct = own.groupBy("text_hash", "text_check").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")).withColumn("rid", F.monotonically_increasing_id())
     kind = dict(distinct.dtypes)["first_id"]
-    texts = written(distinct.mapInPandas(_draw(least), f"text_hash long, text_check long, first_id {kind}, rid long, n long, buckets array<long>, words binary"), "texts")
+    texts = written(distinct.mapInPandas(_draw(least), f"text_hash long, text_check long, first_id {kind}, rid long, n long, buckets array<long>, words binary, signs binary, counts binary"), "texts")
 
     dealt = texts.select("rid", "n", F.posexplode("buckets").alias("sketch", "bucket")).withColumn("sketch", F.when(F.col("sketch") < SKETCHES, F.col("sketch")).otherwise(-1))
     shared = dealt.groupBy("bucket").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).filter("leader <> last").drop("last")
@@ -375,16 +403,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     # Each text and those that lead its buckets, two at least where a link has as many.
     led = met.filter("rid <> leader").groupBy("leader", "rid").agg(F.count("*").alias("times"), F.min("n").alias("n")).filter((F.col("times") >= AGREE) | (F.col("n") < LONG))
     links = written(verified(led.select(F.col("leader").alias("a"), F.col("rid").alias("b")), texts, least), "links")
-    groups = written(connected_components(links), "groups")
-    # Then what meets in a bucket and is of different groups so far.
-    pairs = _open_pairs(met, groups, texts, least)
-    more = verified(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"]).select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
-    merged = connected_components(written(more.distinct(), "links"))
-
-    # The component of each text, then the smallest id of each component.
-    group = F.coalesce("component", "rid")
-    labelled = texts.select("text_hash", "text_check", "rid", "first_id").join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", group).drop("component")
-    labelled = labelled.join(merged.withColumnRenamed("node", "group"), "group", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
+    groups = written(connected_components(links).toDF("rid", "group"), "groups")
+    # Then what meets in a bucket and is of different groups so far: nearest pairs, at last all pairs.
+    for nearest in [True] * ROUNDS + [False]:
+        pairs = _open_pairs(met, groups, texts, least, nearest)
+        more = verified(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"])
+        groups = _joined(groups, written(more.select("group_a", "group_b").distinct(), "links"))
+
+    # The smallest id of each component.
+    labelled = texts.select("text_hash", "text_check", "rid", "first_id").join(groups, "rid", "left").withColumn("group", F.coalesce("group", "rid"))
     best = F.struct(F.col("first_id").isNull().alias("lacks"), F.col("first_id"), F.col("rid"))
     classes = labelled.groupBy("group").agg(F.min(best).alias("best"), F.count("*").alias("n_texts"))
     out = labelled.join(classes, "group")

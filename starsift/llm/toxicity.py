@@ -41,6 +41,11 @@ REPEATS = 3
 #: A feature's toxic documents, as a share of all and at least; weight of the prior in its rate; its rate at least; the penalty of its weight.
 SHARE, LEAST, PRIOR, TELLING, PENALTY = 0.005, 4, 4.0, 0.25, 3e-4
 
+#: Tokens that a task remembers (550 bytes each where words have features), and counts that it gathers
+#: before it hands them on (90 bytes each).
+CACHED, FLUSH = 100_000, 100_000
+NOTHING: list = []
+
 #: What signs and digits may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Costs in nats: reading a sign as a letter; leaving out a digit, or a sign at an end of the word;
@@ -53,6 +58,8 @@ _SIGNS = re.escape("".join(LOOKS))
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DISGUISED = re.compile(rf"(?=.*[^\W\d_])(?:.*[{_SIGNS}]|.*([^\W\d_])\1)", re.S)
 _RUN = re.compile(r"([^\W\d_])\1*")
+_LONG_RUN = re.compile(r"([^\W\d_])\1\1")
+_TWO = re.compile(r"([^\W\d_])\1")
 _ENDS = re.compile(r"^[^\w@$!|+(€£¡*]+|[^\w@$!|+(€£¡*]+$|[!$@|+(€£¡*]{3,}$|^[!$@|+(€£¡*]{3,}")
 
 #: The alphabet: 0 is what stands between words, 1 to 26 a to z, then the Latin-1 letters, last any other letter.
@@ -154,8 +161,33 @@ def _text(read: tuple) -> str:
     return "".join(reversed(parts))
 
 
+def undoubled(word: str, costs: list[float]) -> str | None:
+    """What ``viterbi`` reads in a word of letters alone, None where it isn't so plain.
+
+    If no run is longer than two and some letter stands alone, only runs of two have two readings, and
+    the costs in which those differ lie between the letters before and after a run.
+    """
+    if not word.isalpha() or _LONG_RUN.search(word):
+        return None
+    twos = [m.start() for m in _TWO.finditer(word)]
+    if 2 * len(twos) == len(word):
+        return None
+    out, last = [], 0
+    for k in twos:
+        a, b, c = (_class_of(word[k - 1]) if k else 0), _class_of(word[k]), (_class_of(word[k + 2]) if k + 2 < len(word) else 0)
+        if costs[(a * SIZE + b) * SIZE + c] + DOUBLED < costs[(a * SIZE + b) * SIZE + b] + costs[(b * SIZE + b) * SIZE + c]:
+            out.append(word[last : k + 1])
+            last = k + 2
+    return "".join([*out, word[last:]])
+
+
 def restore(token: str, costs: list[float]) -> list[str]:
     """The words that ``token`` (without white space but what sets letters apart) stands for, in lower case."""
+    bare = token.strip(".,;:?\"'")
+    if bare.isascii() and bare.isalpha():  # most tokens: letters alone
+        bare = bare.lower()
+        if not _TWO.search(bare):
+            return [bare]
     if not token.isascii():
         token = unicodedata.normalize("NFKC", token)
     token = token.lower()
@@ -163,7 +195,8 @@ def restore(token: str, costs: list[float]) -> list[str]:
     if not spaced:
         token = _ENDS.sub("", token)
     if spaced or _DISGUISED.match(token) or _SPACED.search(token):
-        token = viterbi(lattice(token), costs)
+        plain = None if spaced else undoubled(token, costs)
+        token = viterbi(lattice(token), costs) if plain is None else plain
     return _LETTERS.findall(token)
 
 
@@ -179,9 +212,9 @@ def features(words: Iterable[tuple[str, list[str]]]) -> set[str]:
 
 
 class _Words(dict):
-    """What a function finds in the words of a token, kept for tokens that were met before."""
+    """What a function finds in the words of a token, kept for tokens that were met before (up to CACHED)."""
 
-    def __init__(self, costs, find, most: int = 300_000):
+    def __init__(self, costs, find, most: int = CACHED):
         super().__init__()
         self.costs, self.find, self.most = costs, find, most
 
@@ -212,8 +245,20 @@ def _finder(costs: list[float], known: set[str] | None = None) -> _Words:
     """For a token: its restored words with their beginnings, only those of ``known`` if given."""
 
     def find(words: list[str]) -> list[tuple[str, list[str]]]:
-        found = [(w, [f for f in beginnings(w) if known is None or f in known]) for w in words]
-        return [x for x in found if x[1]]
+        found = [(w, beginnings(w)) for w in words]
+        return [x for x in found if x[1]] or NOTHING
+
+    if known is not None:  # most words have no feature that is known
+
+        def find(words: list[str]) -> list[tuple[str, list[str]]]:
+            found = []
+            for w in words:
+                have = [w[:k] for k in PREFIXES if w[:k] in known and len(w) > k]
+                if w + "$" in known and len(w) >= 3:
+                    have.append(w + "$")
+                if have:
+                    found.append((w, have))
+            return found or NOTHING
 
     return _Words(costs, find)
 
@@ -233,9 +278,10 @@ def _count_features(costs: Broadcast):
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update(features(x for t in tokens(text.as_py() or "") for x in find[t]))
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > FLUSH:
                     yield out()
         yield out()
+        find.clear()
 
     return run
 
@@ -286,8 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with a column score between 0 and 1 (replaced if there is one); only the text counts.
 
-    A null or empty text scores as one without telling words. Rows stay as they are; an empty table
-    stays empty.
+    A null or empty text scores as one without telling words. Rows stay as they are, repeated ones and
+    columns of any other name too; very long texts are read whole; an empty table stays empty. Letters
+    outside Latin-1 are one letter to the language model, so disguises in other scripts stay as they are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

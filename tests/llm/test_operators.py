@@ -101,6 +101,19 @@ def test_viterbi_is_the_cheapest_path():
     assert toxicity.viterbi(places, costs).split() == best[0].split()
 
 
+def test_runs_of_two_without_the_lattice():
+    rng = random.Random(21)
+    costs = [float(x) for x in np.random.default_rng(21).uniform(0.1, 9, toxicity.SIZE**3).astype(np.float32)]
+    plain = 0
+    for _ in range(2000):
+        word = "".join(c * rng.choice([1, 1, 2]) for c in rng.choices("abcéж", k=rng.randint(1, 7)))
+        found = toxicity.undoubled(word, costs)
+        if found is not None:
+            plain += 1
+            assert found == toxicity.viterbi(toxicity.lattice(word), costs).strip()
+    assert plain > 1000
+
+
 def test_toxicity_restores_long_disguises(spark):
     words = "you are such a stupid idiot and a moron said the losers of this letter committee with scum".split()
     rng = random.Random(0)
