@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that this process wrote for intermediate tables and hasn't removed, oldest first.
+_paths: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a folder is made and set.
+    Where the setting is absent a folder is made and set, if all of Spark runs in this one process;
+    on a cluster that would be a folder which others can't see, so it's an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
         path = tempfile.mkdtemp(prefix="starsift-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -24,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,3 +46,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared file system, whatever it is."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes the intermediate tables that are written within it, but for those written by what it gives.
+
+    with scratch(spark) as keep:
+        result = keep(work(docs), "result")  # the tables that ``work`` wrote go at the end
+    """
+    began, kept = len(_paths), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        kept.append(_paths[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        gone = [p for p in _paths[began:] if p not in kept]
+        removed(spark, gone)
+        _paths[began:] = kept
