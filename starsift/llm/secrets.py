@@ -116,6 +116,12 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
     found = one.select("blob", "text").mapInPandas(_scan, _FINDINGS)
     # A row that is there twice was scanned twice; the ledger gets each blob once.
     found.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(version)).write.mode("append").parquet(ledger)
+    return known_findings(spark, ledger, version).dropDuplicates(["blob"])
+
+
+def known_findings(spark: SparkSession, ledger: str, version: str = RULE_VERSION) -> DataFrame:
+    """The ledger's rows under a rule version. A write that was repeated, or two scans at once, may have
+    left a blob twice, with equal findings."""
     return spark.read.parquet(ledger).filter(F.col("rule_version") == version).drop("rule_version")
 
 
@@ -123,15 +129,16 @@ def scan_paths(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id
     """``docs`` with n_assign, n_access, n_hex, base and spans of each row's content.
 
     Without ``ledger`` a new one is begun in the shared folder. Columns of ``docs`` with these names
-    are replaced.
+    are replaced, others stay whatever their names. Null texts are empty; repeated rows stay.
     """
     ledger = ledger or new_path(docs.sparkSession, "ledger")
-    found = scan(docs, ledger, id_col, text_col)
-    names = [c for c in found.columns if c != "blob"]
-    hits = found.filter("spans <> ''").withColumnRenamed("blob", "found_blob")  # most blobs have none
-    plain = with_blob(docs.drop(*names, "blob", "found_blob"), text_col)
-    joined = plain.join(hits, F.col("blob") == F.col("found_blob"), "left").drop("found_blob", "blob")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0) if c.startswith("n_") else F.lit("")) for c in names})
+    scan(docs, ledger, id_col, text_col)
+    hits = known_findings(docs.sparkSession, ledger).filter("spans <> ''").dropDuplicates(["blob"])  # most blobs have none
+    names = [c for c in hits.columns if c != "blob"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_row")
+    joined = docs.select(row, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("blob")).join(hits, "blob", "left")
+    found = [F.coalesce(c, F.lit(0) if c.startswith("n_") else F.lit("")).alias(c) for c in names]
+    return joined.select(*(F.col(f"own_row.`{c}`") for c in docs.columns if c not in names), *found)
 
 
 def redacted(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
