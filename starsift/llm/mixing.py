@@ -148,16 +148,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The documents of the mix: a row for each document and pass that the mix takes words of.
 
     A document taken in part keeps its first words, joined by single spaces. ``length_col``, where
-    there is one, follows the text. Columns are those of ``docs``.
+    there is one, follows the text. Columns are those of ``docs``, whatever their names. Texts without
+    words, null ones among them, are never taken; very long texts are taken whole or to the word;
+    repeated rows each count; an empty table stays empty.
     """
-    numbered = written(docs.withColumn("mix_row", F.monotonically_increasing_id()), "numbered")
-    shares = mix(numbered, id_col, text_col, source_col, "mix_row").filter("taken > 0")
+    types = dict(docs.dtypes)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("mix_row"), row), "numbered")
+    plain = numbered.select("mix_row", *(F.col(f"own.`{c}`").alias(n) for c, n in ((id_col, "mix_id"), (text_col, "mix_text"), (source_col, "mix_source"))))
+    shares = mix(plain, "mix_id", "mix_text", "mix_source", "mix_row").filter("taken > 0")
     takes = F.explode(F.array(*(F.col(f"taken_{k}") for k in range(1, PASSES + 1))))
     shares = shares.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), takes.alias("mix_taken")).filter("mix_taken > 0")
-    out = numbered.join(shares, "mix_row")
-    part = F.col("mix_taken") < F.col("mix_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("mix_taken").cast("int")), " ")
-    out = out.withColumn(text_col, F.when(part, cut).otherwise(F.col(text_col)))
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(part, F.length(text_col).cast(dict(docs.dtypes)[length_col])).otherwise(F.col(length_col)))
-    return out.select(docs.columns)
+    part, text = F.col("mix_taken") < F.col("mix_size"), F.col(f"own.`{text_col}`")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("mix_taken").cast("int")), " ")
+    out = {c: F.col(f"own.`{c}`") for c in docs.columns}
+    out[text_col] = F.when(part, cut).otherwise(text)
+    if length_col in types:
+        out[length_col] = F.when(part, F.length(cut).cast(types[length_col])).otherwise(out[length_col])
+    return numbered.join(shares, "mix_row").select(*(c.alias(name) for name, c in out.items()))
