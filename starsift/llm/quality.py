@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starsift.operators.rank import global_rank
+from starsift.storage import written
 
 #: Buckets of the hashed n-grams, counts that each bucket begins with, labelled rows of the target model at most.
 BUCKETS, SMOOTHING, FIT_ROWS = 1 << 16, 1.0, 40_000
@@ -104,6 +105,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id_
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("own_text"))
     unit = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "own_text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = log_weights(own, target, raw, "own_text").withColumn("sample_key", F.col("log_weight") - F.log(-F.log(unit)))
-    ranked = global_rank(keyed.select("doc_id", "log_weight", "sample_key"), [F.desc("sample_key"), F.asc("doc_id")])
-    k = math.ceil(share * docs.count())
+    # Written, as ranges are drawn from it before it is dealt out by them.
+    keyed = written(keyed.select("doc_id", "log_weight", "sample_key"), "keyed")
+    ranked = global_rank(keyed, [F.desc("sample_key"), F.asc("doc_id")])
+    k = math.ceil(share * keyed.count())
     return ranked.withColumn("kept", F.col("rank") <= k)
