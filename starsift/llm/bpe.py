@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 24_000_000
 #: Code points whose pre-tokens are held as separate strings while a block is built.
 CHUNK_CHARS = 1_000_000
+#: Distinct words that a task remembers at least.
+KNOWN = 1_000_000
 
 #: Where ``re`` splits exactly as the Unicode pattern does: Latin-1 without the few code points
 #: whose classes differ (separators 1C-1F and 85, superscript digits, fractions).
@@ -63,8 +65,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=4)
-def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("starsift", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+def _whole(path: str) -> tiktoken.Encoding:
+    """The encoding of a text as one pre-token, whatever is in it."""
+    return tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=load_ranks(path), special_tokens={})
 
 
 @functools.lru_cache(maxsize=4)
@@ -183,29 +186,33 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pc.is_valid(batch.column("bucket"))).select(["block", "bucket", "n", "data"])
 
 
-def _encode_bucket(path: str, pattern: str):
-    """Encode each distinct word of a bucket once, and give every block the ids of its words."""
+def _encode_words(path: str):
+    """Encode each distinct word of a partition once, and give every block the ids of its words.
 
-    def run(rows: pa.Table) -> pa.Table:
-        encode_word = _encoding(path, pattern)._encode_single_piece  # a word is one match of the pattern
+    Rows pass one by one; a task remembers KNOWN words, and encodes a word again that it forgot.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_word = _whole(path).encode_ordinary
         known: dict[bytes, list[int]] = {}
-        out = []
-        for n, packed in zip(rows.column("n").to_pylist(), rows.column("data").to_pylist(), strict=True):
-            data = _unsqueeze(packed)
+        for block, n, packed in ((b, n, p) for rows in batches for b, n, p in zip(rows.column("block"), rows.column("n").to_pylist(), rows.column("data"), strict=True)):
+            data = _unsqueeze(packed.as_py())
             ends = np.cumsum(_numbers(data, n, 4)) + 7 * n
             ids: list[int] = []
             counts = []
             at = 7 * n
+            if len(known) > KNOWN:
+                known.clear()
             for end in ends.tolist():
                 word = data[at:end]
                 got = known.get(word)
                 if got is None:
-                    got = known[word] = encode_word(word)
+                    got = known[word] = encode_word(word.decode())
                 ids += got
                 counts.append(len(got))
                 at = end
-            out.append(_squeeze(data[4 * n : 7 * n] + _planes(np.array(counts), 3) + _planes(np.array(ids), 3)))
-        return pa.table([rows.column("block"), rows.column("n"), pa.array(out, pa.binary())], names=["block", "n", "data"])
+            coded = _squeeze(data[4 * n : 7 * n] + _planes(np.array(counts), 3) + _planes(np.array(ids), 3))
+            yield pa.record_batch([pa.array([block.as_py()]), pa.array([n], pa.int64()), pa.array([coded], pa.binary())], names=["block", "n", "data"])
 
     return run
 
@@ -267,7 +274,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         .repartition(parts, "block")
     )
     words = blocks.mapInArrow(_word_rows, "block string, bucket int, n long, data binary")
-    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), "block string, n long, data binary")
+    coded = words.repartition(2 * parts, "bucket").mapInArrow(_encode_words(path), "block string, n long, data binary")
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(path, digest), _DIGESTS if digest else _IDS)
 
 
