@@ -163,14 +163,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors link if their labels are equal and their cosine is at least ``least``; other vectors of
     equal content link too. Null vectors, zeros, null or non-finite components, null labels and
-    vectors of another length link with nothing. A repeated row is a further vector with the same id.
-    An empty table gives no rows.
+    vectors of another length link with nothing. A repeated row is a further vector with the same id,
+    and so is another vector with that id. A component without an id has the id null, and its rows
+    aren't kept. Other columns of ``vectors``, whatever their names, change nothing. An empty table gives
+    no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = rows.filter(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
-    reps = written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "representatives")
+    # Representatives get a number, which is written once and then read; ids may repeat or lack.
+    reps = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     label_type = dict(reps.dtypes)["label"]
     hashed = written(reps.select("label", "embedding", "rep").mapInPandas(_hash, f"label {label_type}, bucket long, width int, rep long"), "buckets")
     shared = hashed.groupBy("label", "width", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -183,8 +187,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = written(full.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_compare_blocks(least), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = reps.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    known = written(known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("known_links"), F.coalesce("component", "rep").alias("known_component")), "classes")
+    known = reps.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least_id = known.groupBy("component").agg(F.min("first_id").alias("known_component"))
+    known = known.join(least_id, "component")
+    known = written(known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("known_links"), "known_component"), "classes")
     out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     component = F.coalesce("known_component", "vec_id")
-    return out.select("vec_id", F.coalesce("known_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("known_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
