@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, quality, secrets, toxicity
+from starsift.storage import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,8 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
+    media = written(audio.store(table(spark, sf_dir, "documents")), "media")
+    return audio.digests(media)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,6 +324,14 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_with_one_id(spark):
+    """An id with two different vectors, and vectors without an id."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a, 1), (1, b, 1), (2, a, 1), (3, b, 1), (None, a, 1), (None, [0.0, 0.0, 1.0, 0.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, False), (0, 2, 1, False), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
+
+
 def test_hot_group_of_vectors(spark):
     """A group of more than two blocks, and one vector many times."""
     rng = np.random.default_rng(6)
@@ -611,6 +619,16 @@ def test_ledger_is_incremental(spark):
     assert spark.read.parquet(ledger).count() == 7
 
 
+def test_ledger_written_twice(spark):
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2"), (2, "nothing here")], "doc_id long, text string")
+    ledger = new_path(spark, "ledger")
+    before = secrets.scan_paths(docs, ledger).orderBy("doc_id").collect()
+    rows = spark.read.parquet(ledger)
+    rows.checkpoint().write.mode("append").parquet(ledger)  # as a retried or concurrent scan would
+    assert secrets.scan_paths(docs, ledger).orderBy("doc_id").collect() == before
+    assert secrets.scan(docs, ledger).count() == 2
+
+
 def test_secrets_odd_tables(spark, odd, empty):
     assert secrets.redacted(odd).columns == odd.columns
     assert sorted(r["text"] or "" for r in secrets.redacted(odd).collect()) == sorted(t or "" for _, t, *_ in ODD)

@@ -56,6 +56,23 @@ def test_empty_documents(spark, sf, stages):
         assert docs.count() == 0
 
 
+def test_odd_documents(spark, sf):
+    """Nulls in every column, repeated rows, ties, long texts, and columns with clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, own string, rid string, blob string, mix_row string, score string, text_hash string"
+    long = "some words of a long text " * 3000
+    rows = [(1, None), (2, ""), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (4, "one two three four five six eight"), (5, long), (None, "no id here but some words"), (None, None)]
+    docs = spark.createDataFrame([(k, t, None, "a" if k else None, len(t) if t else None, *["clash"] * 6) for k, t in rows], schema)
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+        assert {tuple(r[5:]) for r in docs.collect()} == {("clash",) * 6}
+        sizes.append(docs.count())
+    # All are clean; 1, 2 and the null text are one class, 3 and 4 another; only texts with words are mixed.
+    assert sizes[:3] == [8, 4, 4] and {r["doc_id"] for r in docs.collect()} <= {3, 5, None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == sizes[3]
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
