@@ -286,6 +286,8 @@ def _rule_out(least: float, nearest: bool):
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Of whole block pairs, one after the other."""
+        if rows.empty:
+            return
         rid, group, n, sketch, own, low, high = (rows[c].to_numpy() for c in ("rid", "group", "n", "sketch", "own", "low", "high"))
         signs = np.frombuffer(b"".join(rows["signs"]), dtype="<u2").reshape(-1, SKETCHES)
         counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(-1, BINS)
@@ -335,6 +337,8 @@ def _rule_out(least: float, nearest: bool):
         # Rows come sorted by block pair; the last pair of a batch may go on in the next one.
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows.empty:
+                continue
             last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
             yield from pairs(rows[~last])
             held = rows[last]

@@ -10,6 +10,7 @@ import wave
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -467,6 +468,34 @@ def test_scattered_edits_share_a_bucket():
                 assert (order_minhash.sketches(text) == order_minhash.sketches(copy)).any(), (n, share, k)
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_block_pairs_in_batches_of_any_size(size):
+    """Pairs of sorted block pairs, small and large, whose rows come in batches."""
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 60000, order_minhash.SKETCHES).astype("<u2")
+    rows = []
+    for bucket, (low, high), m in [(1, (0, 0), 2), (2, (0, 0), 40), (3, (0, 1), 45), (4, (0, 0), 3)]:
+        for _ in range(m):
+            signs = np.where(rng.random(len(base)) < 0.5, base, rng.integers(0, 60000, len(base))).astype("<u2")
+            signs[0] = base[0]
+            counts = rng.integers(0, 2, order_minhash.BINS).astype(np.uint8)
+            counts[:200] = 1
+            rows.append((bucket, 0, len(rows), int(rng.integers(0, 9)), int(rng.integers(low, high + 1)), low, high, 250, signs.tobytes(), counts.tobytes()))
+    table = pd.DataFrame(rows, columns=["bucket", "sketch", "rid", "group", "own", "low", "high", "n", "signs", "counts"])
+    expected = set()
+    for x in rows:
+        for y in rows:
+            a, b = (np.frombuffer(r[9], np.uint8).astype(int) for r in (x, y))
+            lost = max(np.maximum(a - b, 0).sum(), np.maximum(b - a, 0).sum())
+            if x[0] == y[0] and x[2] < y[2] and x[3] != y[3] and (x[4] != y[4] or x[5] == x[6]) and lost <= 50:
+                expected.add((x[2], y[2], x[3], y[3]))
+    batches = [table[k : k + size].reset_index(drop=True) for k in range(0, len(table), size)]
+    got = pd.concat([*order_minhash._rule_out(0.8, False)(iter(batches)), pd.DataFrame(columns=["a", "b", "group_a", "group_b"])])
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(expected) and len(expected) > 100
+    near = pd.concat(list(order_minhash._rule_out(0.8, True)(iter(batches))))
+    assert 0 < len(near) <= len(table) and set(map(tuple, near.to_numpy().tolist())) <= expected
+
+
 def test_short_near_copies_against_brute_force(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(300)]
