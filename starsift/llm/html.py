@@ -2,28 +2,35 @@
 
 1. Each page's containers are scored by the text of their blocks, links left out. A container's
    path is the tags and classes of its ancestors and itself, with numbers made alike.
-2. In Spark, each page votes for the paths of its best containers; the path with the most votes of a
-   host wins. Votes are summed before the shuffle, so a host that holds a third of all pages is no
-   single task's work.
-3. The text is taken anew from the containers on the host's winning path; a page without one falls
-   back to its own best container.
+2. In Spark, each page votes for the paths of its best containers. Paths that are best on enough of a
+   host's pages win, so a host with several templates has several. Votes are summed before the
+   shuffle, so a host that holds a third of all pages is no single task's work.
+3. The text is taken anew from the containers on the first of the host's winning paths that the page
+   has; a page without one falls back to its own best container.
+
+Elements of any kind are left out by tag, role or class, at any level. A class that may be an ordinary
+word (a "related-work" section) counts only where its element is short or mostly links.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starsift.storage import written
 
 #: Paths that a page votes for, best first.
 VOTES = 3
+#: A path wins that is best on this share of the pages that the host's first path is best on.
+WINS = 0.1
+#: Characters of an element that a doubtful class leaves out, if it isn't mostly links.
+SHORT = 200
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -33,18 +40,29 @@ _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
-RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "canvas", "title", "head"}
+RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "select", "title", "head"}
+CLOSED_BY_NEXT = {"p", "li", "dt", "dd", "option"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "th", "table", "tbody", "tr", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "center", "dialog", "fieldset", "details", "menu", "figure"}
 BLOCKS = CONTAINERS - {"td", "th"} | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "br", "hr", "figcaption", "address", "caption", "summary", "thead", "tfoot", "hgroup", "option", "legend"}
 #: Elements, roles and words of class or id whose content is no main text.
-OUT_TAGS = {"nav", "aside", "footer", "form", "dialog", "menu", "button"}
+OUT_TAGS = {"nav", "aside", "header", "footer", "form", "dialog", "menu", "button", "label"}
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 OUT_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
     "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "popup", "promo", "promotion", "related", "recommended", "replies", "reply",
     "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets", "login", "search", "skip", "tags", "overlay", "paywall", "copyright", "alert", "feedback", "reactions", "discussion",
 }
+#: Of these, words that may be an article's own; words that always tell; and words that, beside a word
+#: of the list, say nothing of their own. Words of up to two letters say nothing either.
+DOUBTFUL = {"tags", "alert", "feedback", "discussion", "search", "related", "recommended", "reactions", "share", "skip", "copyright", "respond"}
+CERTAIN = {
+    "advert", "adverts", "advertisement", "advertising", "sponsored", "cookie", "cookies", "gdpr", "navbar", "sidebar", "newsletter", "breadcrumb", "breadcrumbs", "pagination", "popup", "modal", "disqus", "masthead", "paywall",
+}
+PLAIN = {
+    "article", "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "container", "content", "entry", "footer", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer",
+    "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "top", "unit", "user", "view", "wrap", "wrapper", "zone",
+}
 GOOD_TAGS, GOOD_WORDS = {"article", "main"}, {"article", "content", "entry", "post", "story", "main", "body", "text"}
 
 
@@ -55,6 +73,9 @@ class _Container:
     path: str
     out: bool
     good: bool
+    doubtful: bool = False
+    inline: bool = False  # an element that holds no article of its own
+    depth: int = 1
     own: float = 0.0
     score: float = 0.0
 
@@ -80,6 +101,36 @@ def _attributes(text: str) -> tuple[list[str], str]:
     return words, role
 
 
+def _tells(words: list[str]) -> tuple[bool, bool]:
+    """Whether the words of class and id leave an element out, and whether they may."""
+    doubtful = False
+    for word in words:
+        parts = set(_WORDS.findall(word))
+        found = parts & OUT_WORDS
+        if parts & CERTAIN or (found - DOUBTFUL and all(x in OUT_WORDS or x in PLAIN or len(x) <= 2 for x in parts)):
+            return True, True
+        doubtful |= bool(found)
+    return False, doubtful
+
+
+def _settle(page: _Page) -> None:
+    """Decide on doubtful elements by their text, and give the texts of inline ones that stay to the container."""
+    all_, top = page.containers, [0] * len(page.containers)
+    length, linked = [0] * len(all_), [0] * len(all_)
+    for k, _, text, in_link in page.pieces:
+        n = len(text.strip())
+        length[k] += n
+        linked[k] += n * in_link
+    for k in range(len(all_) - 1, 0, -1):
+        length[all_[k].parent] += length[k]
+        linked[all_[k].parent] += linked[k]
+    for k, c in enumerate(all_[1:], 1):
+        c.out |= all_[c.parent].out or (c.doubtful and (length[k] < SHORT or 2 * linked[k] > length[k]))
+        top[k] = top[c.parent] if c.inline and not c.out else k
+        c.parent = top[c.parent]
+    page.pieces = [(top[k], block, text, in_link) for k, block, text, in_link in page.pieces]
+
+
 def read(page: str) -> _Page:
     """Containers and texts of a page; end tags that lack are taken as given, others without a start are left out."""
     out = _Page([_Container(-1, "", "", False, False)])
@@ -116,24 +167,44 @@ def read(page: str) -> _Page:
             link = 0 if closing else 1
         if tag in ("td", "th") and out.pieces:
             out.pieces.append((stack[-1], block, " ", False))
-        if tag not in CONTAINERS:
-            continue
+        # The elements within the innermost container that are on the stack for what they leave out.
+        run = len(stack)
+        while run > 1 and out.containers[stack[run - 1]].inline:
+            run -= 1
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if out.containers[stack[k]].tag == tag:
-                    del stack[k:]
+            inline = tag not in CONTAINERS
+            for k in range(len(stack) - 1, run - 1 if inline else 0, -1):
+                found = out.containers[stack[k]]
+                if found.tag == tag:
+                    found.depth -= 1
+                    if not found.depth:
+                        del stack[k:]
                     break
-            link = 0
-        elif not rest.rstrip().endswith("/"):
-            words, role = _attributes(rest)
-            parent = stack[-1]
-            above = out.containers[parent]
-            parts = {p for w in words for p in _WORDS.findall(w)}
-            inside = any(out.containers[k].tag in GOOD_TAGS for k in stack)
-            bad = above.out or tag in OUT_TAGS or (tag == "header" and not inside) or role in OUT_ROLES or bool(parts & OUT_WORDS and tag not in ("html", "body", "main", "article")) or bool(rest and _HIDDEN.search(rest))
-            name = ".".join([tag, *sorted({re.sub(r"\d+", "#", w) for w in words})])
-            out.containers.append(_Container(parent, tag, f"{above.path}/{name}", bad, tag in GOOD_TAGS or bool(parts & GOOD_WORDS)))
-            stack.append(len(out.containers) - 1)
+            link = link if inline else 0
+            continue
+        if tag in VOID or rest.rstrip().endswith("/"):
+            continue
+        for k in range(run, len(stack)):
+            found = out.containers[stack[k]]
+            if (found.tag == "p" and tag in BLOCKS) or (found.tag == tag and tag in CLOSED_BY_NEXT):
+                del stack[k:]  # an end tag that lacks
+                break
+            if found.tag == tag:
+                found.depth += 1
+        words, role = _attributes(rest)
+        tells, doubtful = _tells(words) if words and tag not in ("html", "body", "main", "article") else (False, False)
+        bad = tells or tag in OUT_TAGS or role in OUT_ROLES or bool(rest and _HIDDEN.search(rest))
+        inline = tag not in CONTAINERS
+        if inline and not bad and not doubtful:
+            continue
+        parent = stack[-1]
+        above = out.containers[parent]
+        parts = {p for w in words for p in _WORDS.findall(w)}
+        name = ".".join([tag, *sorted({re.sub(r"\d+", "#", w) for w in words})])
+        good = tag in GOOD_TAGS or bool(parts & GOOD_WORDS)
+        out.containers.append(_Container(parent, tag, above.path if inline else f"{above.path}/{name}", above.out or bad, good and not inline, doubtful, inline))
+        stack.append(len(out.containers) - 1)
+    _settle(out)
     return out
 
 
@@ -160,7 +231,7 @@ def text_of(page: _Page, chosen: set[int]) -> str:
     """The blocks within the chosen containers, without what is no main text."""
     within = [False] * len(page.containers)
     for k, c in enumerate(page.containers):
-        within[k] = not c.out and (k in chosen or (c.parent >= 0 and within[c.parent]))
+        within[k] = not c.out and not c.inline and (k in chosen or (c.parent >= 0 and within[c.parent]))
     blocks: dict[int, list[str]] = {}
     for k, block, text, _ in page.pieces:
         if within[k]:
@@ -169,14 +240,15 @@ def text_of(page: _Page, chosen: set[int]) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def extract(page: str, path: str | None) -> str:
-    """The main text by ``path``, or by the page's own best container where no text is on it."""
+def extract(page: str, paths: Sequence[str]) -> str:
+    """The main text by the first of ``paths`` with text, or by the page's own best container."""
     parsed = read(page)
-    text = text_of(parsed, {k for k, c in enumerate(parsed.containers) if c.path == path}) if path is not None else ""
-    if not text:
-        best = scored(parsed)
-        text = text_of(parsed, {-best[0][1]}) if best else ""
-    return text
+    for path in paths:
+        text = text_of(parsed, {k for k, c in enumerate(parsed.containers) if c.path == path and not c.inline})
+        if text:
+            return text
+    best = scored(parsed)
+    return text_of(parsed, {-best[0][1]}) if best else ""
 
 
 def host(url_col: str) -> F.Column:
@@ -185,7 +257,10 @@ def host(url_col: str) -> F.Column:
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the path of each host that most of its pages' best containers have."""
+    """(host, path, paths): the first winning path of each host, and all of them, at most 1 / WINS.
+
+    Paths are ordered by the number of pages on which they are best, then by votes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,28 +269,36 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
                 parsed = read(text)
                 best = scored(parsed)[:VOTES]
                 top = best[0][0] if best else 1.0
-                rows += [(name, parsed.containers[-k].path, s / top) for s, k in best]
-            yield pd.DataFrame(rows, columns=["host", "path", "vote"])
+                rows += [(name, parsed.containers[-k].path, s / top, int(not nth)) for nth, (s, k) in enumerate(best)]
+            yield pd.DataFrame(rows, columns=["host", "path", "vote", "best"])
 
-    voted = pages.select(host(url_col).alias("host"), F.coalesce(html_col, F.lit("")).alias("html")).mapInPandas(run, "host string, path string, vote double")
-    votes = voted.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
-    return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    voted = pages.select(host(url_col).alias("host"), F.coalesce(html_col, F.lit("")).alias("html")).mapInPandas(run, "host string, path string, vote double, best long")
+    votes = voted.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"), F.sum("best").alias("best"))
+    votes = written(votes, "votes")
+    most = votes.groupBy("host").agg(F.max("best").alias("most"))
+    won = votes.join(most, "host").filter((F.col("best") > 0) & (F.col("best") >= F.col("most") * WINS))
+    ranked = won.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("best"), F.desc("votes"), "path"))).filter(F.col("nth") <= round(1 / WINS))
+    paths = F.transform(F.sort_array(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"])
+    return ranked.groupBy("host").agg(paths.alias("paths")).select("host", F.col("paths")[0].alias("path"), "paths")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", paths: DataFrame | None = None) -> DataFrame:
     """``pages`` with the main text of each row as ``text_col`` (replaced if there is one).
 
-    Null html counts as empty; its text is empty. Pages without a host share the empty host.
-    Repeated rows stay; an empty table stays empty. ``paths`` may hold (host, path) of an earlier
-    run. Spark broadcasts the table of paths only where it is under its threshold; beyond it both
-    sides are shuffled by host, and large hosts are split by adaptive skew joins.
+    Null html counts as empty; its text is empty. Pages without a host share the empty host; a host on
+    which two paths tie takes the one with more votes, then the first by name. Repeated rows stay, and
+    other columns keep their names; very long pages are read whole; an empty table stays empty.
+    ``paths`` may hold (host, paths) of an earlier run. Spark broadcasts the table of paths only where
+    it is under its threshold; beyond it both sides are shuffled by host, and large hosts are split by
+    adaptive skew joins.
     """
     paths = written(winning_paths(pages, url_col, html_col), "paths") if paths is None else paths
 
     @F.pandas_udf("string")
     def extracted(texts: pd.Series, chosen: pd.Series) -> pd.Series:
-        return pd.Series([extract(t, p) for t, p in zip(texts, chosen, strict=True)], dtype=object)
+        return pd.Series([extract(t, () if p is None else p) for t, p in zip(texts, chosen, strict=True)], dtype=object)
 
-    own = pages.drop(text_col).withColumn("page_host", host(url_col))
-    joined = own.join(paths.select(F.col("host").alias("page_host"), F.col("path").alias("host_path")), "page_host", "left")
-    return joined.withColumn(text_col, extracted(F.coalesce(html_col, F.lit("")), "host_path")).drop("page_host", "host_path")
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("own")
+    own = pages.select(row, host(url_col).alias("host"), F.coalesce(html_col, F.lit("")).alias("page"))
+    joined = own.join(paths.select("host", "paths"), "host", "left")
+    return joined.select(*(F.col(f"own.`{c}`") for c in pages.columns if c != text_col), extracted("page", "paths").alias(text_col))

@@ -162,6 +162,35 @@ def test_host_path_decides(spark):
     assert got[9] == ("word " * 5).strip()
 
 
+@pytest.mark.parametrize(
+    "out",
+    ["<button>Subscribe now</button>", '<p class="advert">Buy it now', '<span class="ad">Buy <span>it</span> now</span>', '<p class="cookie-notice">We use cookies</p>', "<label>Your name</label>", "<header>Site name</header>", '<ul class="related"><li><a href="#">Other story</a></ul>', '<div class="user-comments"><p>I disagree with all of it</p></div>'],
+)
+@pytest.mark.parametrize("tag", ["article", "div class='t1'"])
+def test_left_out_at_any_level(out, tag):
+    before, after = "<p>" + "first words " * 20 + "</p>", "<p>last &amp; <b>bold</b> words</p>"
+    page = f"<body><nav><a>Home</a></nav><{tag}>{before}{out}{after}</{tag.split()[0]}></body>"
+    assert html.extract(page, ()) == ("first words " * 20).strip() + "\nlast & bold words"
+
+
+@pytest.mark.parametrize("name", ["search-and-rescue", "related-work", "discussion", "story-tags", "alert"])
+def test_ordinary_words_as_classes(name):
+    story = "a long story of many words " * 20
+    assert html.extract(f'<body><div class="{name}"><p>{story}</p></div><div class="x"><p>word</p></div></body>', ()) == story.strip()
+    assert html.extract(f'<body><div><p>{story}</p><div class="{name}"><a>one</a> <a>two</a></div></div></body>', ()) == story.strip()
+
+
+def test_two_templates_of_a_host(spark):
+    one = lambda k: f"<body><div class='one'><p>{'alpha ' * (30 + k)}</p></div><div class='talk'><p>{'noise ' * 9}</p></div></body>"
+    two = lambda k, n: f"<body><section class='two'><p>{'beta ' * (30 + k)}</p></section><div class='talk'><p>{'noise ' * n}</p></div></body>"
+    rows = [(k, "http://h.example/", one(k)) for k in range(12)] + [(20 + k, "http://h.example/", two(k, 4)) for k in range(4)] + [(30, "http://h.example/", two(0, 90))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "page_host", "paths", "host_path", "own", "page")})
+    got = html.main_text(df)
+    assert got.columns == [*df.columns, "text"]
+    for r in got.collect():
+        assert set(r["text"].split()) == {"alpha" if r["page_id"] < 20 else "beta"} and r["host"] == r["host_path"] == r["page"] == "clash"
+
+
 def test_pages_of_the_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas().set_index("page_id")
     for r in queries.op2_host_paths(spark, sf).collect():
