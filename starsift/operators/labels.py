@@ -37,7 +37,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_labels(df: DataFrame, path: str) -> None:
-    df.select("filename", "label").write.mode("overwrite").option("header", True).csv(path)
+    """All columns of ``df``, filename and label first."""
+    df.select("filename", "label", *(f"`{c}`" for c in df.columns if c not in ("filename", "label"))).write.mode("overwrite").option("header", True).csv(path)
 
 
 def validation(df: DataFrame) -> DataFrame:
@@ -180,3 +181,18 @@ def find_corrections(df: DataFrame, n: int) -> DataFrame:
 
     best = top_k_per_class(df, n // 2, "truth", [F.desc("score"), F.asc("filename")])
     return best.select("filename", F.when(F.col("truth") == 1, "anomaly").otherwise("normal").alias("label"), "score")
+
+
+def not_in_classes(df: DataFrame, classes: list[str], label: str = "label") -> DataFrame:
+    """The rows whose class is none of ``classes``; a null class is none of them."""
+    return df.filter(~F.coalesce(F.col(label).isin(*classes), F.lit(False)))
+
+
+def stamp(ts: Column) -> Column:
+    """A time as people read it."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def run_id(ts: Column) -> Column:
+    """A time as runs are named."""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")

@@ -30,8 +30,17 @@ def rank_by_mean(pred: DataFrame) -> DataFrame:
 
 
 def rank_by_median(pred: DataFrame) -> DataFrame:
-    """Rows by distance of their score from the exact median, as gap."""
-    median = pred.agg(F.percentile("score", 0.5).alias("centre"))
+    """Rows by distance of their score from the exact median, as gap.
+
+    The median is the mean of the one or two middle scores by position among the distinct scores, so no
+    task holds all of them.
+    """
+    counts = pred.filter(F.col("score").isNotNull()).groupBy("score").agg(F.count("*").alias("rows"))
+    placed = prefix_sums(counts, [F.asc("score")], {"up_to": F.col("rows")})
+    total = placed.agg(F.max("up_to").alias("total"))
+    last, first = F.col("up_to"), F.col("up_to") - F.col("rows")
+    middle = placed.join(F.broadcast(total)).filter(((first * 2 < F.col("total")) & (last * 2 >= F.col("total"))) | ((first * 2 <= F.col("total")) & (last * 2 > F.col("total"))))
+    median = middle.agg(F.avg("score").alias("centre"))  # one or two rows
     return pred.join(F.broadcast(median)).withColumn("gap", F.abs(F.col("score") - F.col("centre"))).drop("centre").orderBy("gap", "filename")
 
 
@@ -42,17 +51,19 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
     each part's offset, and a window runs within a part. Only the table of parts is ordered as a whole.
     """
     keys = list(keys)
+    key_names = [f"key_{k}" for k in range(len(keys))]
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own")  # so that no column of ``df`` clashes
     by = [F.col(k) for k in keys] + list(order)
-    named = df.withColumns({f"add_{name}": value for name, value in sums.items()})
-    placed = written(named.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranked")
-    totals = placed.groupBy(*keys, "part").agg(*(F.sum(f"add_{name}").alias(f"in_{name}") for name in sums))
-    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "part", *(F.coalesce(F.sum(f"in_{name}").over(before), F.lit(0)).alias(f"before_{name}") for name in sums))
-    within = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    nth = F.monotonically_increasing_id()  # rises within a sorted partition
+    named = [F.col(k).alias(n) for k, n in zip(keys, key_names, strict=True)] + [value.alias(f"add_{name}") for name, value in sums.items()]
+    placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).select(own, F.spark_partition_id().alias("part"), nth.alias("nth"), *named), "ranked")
+    totals = placed.groupBy(*key_names, "part").agg(*(F.sum(f"add_{name}").alias(f"in_{name}") for name in sums))
+    before = Window.partitionBy(*key_names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*key_names, "part", *(F.coalesce(F.sum(f"in_{name}").over(before), F.lit(0)).alias(f"before_{name}") for name in sums))
+    within = Window.partitionBy(*key_names, "part").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     running = placed.withColumns({f"up_to_{name}": F.sum(f"add_{name}").over(within) for name in sums})
-    out = running.join(offsets, [*keys, "part"])
-    out = out.withColumns({name: F.col(f"up_to_{name}") + F.col(f"before_{name}") for name in sums})
-    return out.select(*df.columns, *sums)
+    out = running.join(offsets, [*key_names, "part"])
+    return out.select(*(F.col(f"own.`{c}`") for c in df.columns), *((F.col(f"up_to_{name}") + F.col(f"before_{name}")).alias(name) for name in sums))
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "rank") -> DataFrame:

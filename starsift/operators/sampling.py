@@ -67,7 +67,7 @@ def class_weights(labels: DataFrame, label: str = "label") -> DataFrame:
 def _draws(df: DataFrame, n: int, seed: int):
     spark = df.sparkSession
     unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40))
-    return spark.range(n).withColumnRenamed("id", "id").withColumns({"u": unit(1), "v": unit(2)})
+    return spark.range(n).withColumns({"u": unit(1), "v": unit(2)})
 
 
 def weighted_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label") -> DataFrame:

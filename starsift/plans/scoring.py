@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from starsift.functions.vector import dot
 from starsift.operators.rank import top_n
+from starsift.storage import written
 
 
 @dataclass
@@ -49,11 +50,13 @@ def search(source: DataFrame, scored: Callable[[DataFrame], DataFrame], n: int =
     """The n highest scores over all containers of ``source``.
 
     Payload columns stay out of the sort: the winners (n rows) fetch theirs by filename and source.
-    With ``store`` all predictions are added to that table first.
+    With ``store`` all predictions are added to that table. They are scored once: written to a folder
+    of the run, and from there added to the table and ranked.
     """
     pred = scored(source)
     narrow = pred.select("filename", "source", "score")
     if store:
+        narrow = written(narrow, "predictions")
         narrow.write.mode("append").parquet(store)
     best = top_n(narrow, n)
     if not payload:

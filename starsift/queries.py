@@ -298,7 +298,12 @@ def stamp(spark, d):
     seconds = F.floor("value") * 60
     part = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
     took = F.concat(F.floor(seconds / 3600).cast("string"), F.lit(":"), part(F.floor(seconds % 3600 / 60)), F.lit(":"), part(seconds % 60))
-    return P.table(spark, d, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.date_format(ts, "yyyyMMdd_HHmmss").alias("run_id"), took.alias("took"))
+    return P.table(spark, d, "events").select("event_id", L.stamp(ts).alias("stamp"), L.run_id(ts).alias("run_id"), took.alias("took"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'purchase')")
+def not_in_classes(spark, d):
+    return L.not_in_classes(P.table(spark, d, "events").select("event_id", "event_type"), ["click", "purchase"], "event_type")
 
 
 @query("SELECT count(*) AS rows, sum((event_type NOT IN ('normal', 'anomaly') AND event_type NOT IN ('view', 'click', 'error'))::INT)::BIGINT AS invalid FROM events")

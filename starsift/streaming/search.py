@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,13 +18,6 @@ def _start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], Non
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def stream_search(source: DataFrame, scored: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> StreamingQuery:
     """Score a stream and keep all predictions under ``store``, a folder for each batch.
 
@@ -39,10 +31,13 @@ def stream_search(source: DataFrame, scored: Callable[[DataFrame], DataFrame], s
 
 
 def stream_top_n(pred: DataFrame, n: int, store: str, checkpoint: str) -> StreamingQuery:
-    """The running n highest of (filename, score, ...) under ``store``: of the last state and the batch only."""
+    """The running n highest of (filename, score, ...) under ``store``: of the last state and the batch only.
+
+    A state that is gone stops the stream: winners of earlier batches would be lost without a word.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = _read(batch.sparkSession, f"{store}/state={batch_id - 1}") if batch_id else None
+        before = batch.sparkSession.read.parquet(f"{store}/state={batch_id - 1}") if batch_id else None
         rows = batch if before is None else batch.unionByName(before.select(batch.columns))
         top_n(rows, n).write.mode("overwrite").parquet(f"{store}/state={batch_id}")
 
@@ -60,7 +55,7 @@ def stream_labels(edits: DataFrame, order: list[str], store: str, checkpoint: st
     """The last label of each key, by ``order`` columns, as a running state under ``store``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = _read(batch.sparkSession, f"{store}/state={batch_id - 1}") if batch_id else None
+        before = batch.sparkSession.read.parquet(f"{store}/state={batch_id - 1}") if batch_id else None
         own = [key, "label", *order]
         rows = batch.select(own) if before is None else batch.select(own).unionByName(before.select(own))
         rest = F.struct("label", *order)

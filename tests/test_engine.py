@@ -312,3 +312,26 @@ def test_small_tables(spark):
     assert A.best_iteration(runs).first()["iteration"] == 1
     only = A.run_summary(runs.filter("iteration = 0")).first()
     assert only["first_auroc"] == only["final_auroc"] == 0.5
+
+
+def test_positions_beside_clashing_columns(spark):
+    """Every name that prefix_sums makes stands in its input; many parts, ties by a second column."""
+    names = ["part", "nth", "own", "key_0", "add_rank", "in_rank", "before_rank", "up_to_rank"]
+    rows = [(k, (k * 7919) % 50, "ab"[k % 2]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, score long, kind string").repartition(7).withColumns({c: F.lit("clash") for c in names})
+    got = R.global_rank(df, [F.desc("score"), F.asc("id")], ["kind"])
+    assert got.columns == [*df.columns, "rank"]
+    expected = {}
+    for kind in "ab":
+        own = sorted((r for r in rows if r[2] == kind), key=lambda r: (-r[1], r[0]))
+        expected |= {r[0]: k + 1 for k, r in enumerate(own)}
+    found = got.collect()
+    assert {r["id"]: r["rank"] for r in found} == expected and all(r[c] == "clash" for r in found for c in names)
+
+
+def test_exact_median(spark):
+    for scores in ([3.0], [1.0, 2.0], [1.0, 1.0, 5.0, 9.0], [2.0, 2.0, 2.0, 7.0], [4.0, 1.0, None, 3.0, 3.0, 8.0]):
+        df = spark.createDataFrame([(str(k), x) for k, x in enumerate(scores)], "filename string, score double")
+        own = sorted(x for x in scores if x is not None)
+        middle = (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
+        assert {(r["filename"], r["gap"]) for r in R.rank_by_median(df).collect()} == {(str(k), None if x is None else abs(x - middle)) for k, x in enumerate(scores)}
