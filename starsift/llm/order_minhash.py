@@ -269,7 +269,7 @@ def _verify(least: float):
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of numbers of ``texts`` whose edit similarity is at least ``least``."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     # The words of these texts alone are written, and then read once for each side.
     words = written(texts.select("rid", "words").join(needed, "rid", "left_semi"), "words")
     first = words.select(F.col("rid").alias("a"), F.col("words").alias("words_a"))
