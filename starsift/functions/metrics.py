@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starsift.operators.rank import by_score, prefix_sums
+from starsift.operators.rank import prefix_sums
+from starsift.storage import written
 
 TOP_PERCENT = (0.1, 1.0)
 
@@ -66,18 +67,54 @@ def roc_curve(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.select(*keys, F.col("score").alias("threshold"), (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
 
 
-def top_percent_metrics(df: DataFrame, percents: Sequence[float] = TOP_PERCENT, keys: Sequence[str] = (), ranked: DataFrame | None = None) -> DataFrame:
+def found_at(df: DataFrame, points: DataFrame, keys: Sequence[str] = (), table: DataFrame | None = None) -> DataFrame:
+    """(keys, inspected, found): anomalies among the first ``inspected`` rows by descending score, ties by filename.
+
+    ``points`` has (keys, inspected), few for each key. A score table places each point in a group of
+    equal scores; of ``df`` only the rows of groups that a point cuts, and that hold both kinds, are
+    ranked by filename.
+    """
+    keys = list(keys)
+    table = score_table(df, keys) if table is None else table
+    last = F.col("tp") + F.col("fp")
+    first = last - F.col("pos") - F.col("neg")
+    met = table.join(points, keys) if keys else table.join(F.broadcast(points))
+    met = met.filter((first < F.col("inspected")) & (F.col("inspected") <= last))
+    whole = F.when(F.col("inspected") == last, F.col("pos")).when(F.col("pos") == 0, 0).when(F.col("neg") == 0, F.col("inspected") - first)
+    met = written(met.select(*keys, "inspected", "score", first.alias("before"), (F.col("tp") - F.col("pos")).alias("found_before"), whole.alias("found_in")), "points")
+    found = met.filter("found_in is not null").select(*keys, "inspected", (F.col("found_before") + F.col("found_in")).alias("found"))
+    cuts = met.filter("found_in is null")
+    if cuts.isEmpty():
+        return found
+    groups = cuts.select(*(F.col(k).alias(f"cut_{k}") for k in keys), F.col("score").alias("cut_score"), "before").distinct()
+    same = F.col("score").eqNullSafe(F.col("cut_score"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"cut_{k}"))
+    tied = df.select(*keys, "score", "filename", "truth").join(groups, same).select(*keys, "before", "filename", "truth")
+    ranked = prefix_sums(tied, [F.asc("filename")], {"nth": F.lit(1).cast("long"), "found_in": F.col("truth").cast("long")}, [*keys, "before"])
+    needed = cuts.drop("found_in").withColumn("nth", F.col("inspected") - F.col("before"))
+    cut = needed.join(ranked.select(*keys, "before", "nth", "found_in"), [*keys, "before", "nth"])
+    return found.unionByName(cut.select(*keys, "inspected", (F.col("found_before") + F.col("found_in")).alias("found")))
+
+
+def _totals(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return table.groupBy(*keys).agg(F.sum(F.col("pos") + F.col("neg")).alias("rows"), F.sum("pos").alias("anomalies"))
+
+
+def top_percent_metrics(df: DataFrame, percents: Sequence[float] = TOP_PERCENT, keys: Sequence[str] = (), table: DataFrame | None = None) -> DataFrame:
     """(keys, top_{p}pct_anomalies_found, top_{p}pct_precision) of (filename, score, truth).
 
     The top p percent are max(1, trunc(N * p / 100)) rows; both values are percentages, found is 0
     where there is no anomaly.
     """
-    rows = by_score(df, keys) if ranked is None else ranked
-    totals = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("truth").alias("anomalies"))
-    rows = rows.join(totals, list(keys)) if keys else rows.join(F.broadcast(totals))
-    limits = {p: F.greatest(F.lit(1), F.floor(F.col("rows") * p / 100)) for p in percents}
-    found = [F.sum(F.when(F.col("rank") <= limit, F.col("truth"))).alias(f"found_{k}") for k, limit in enumerate(limits.values())]
-    out = rows.groupBy(*keys, "rows", "anomalies").agg(*found)
+    table = written(score_table(df, keys), "scores") if table is None else table
+    totals = _totals(table, keys)
+    limits = {p: F.greatest(F.lit(1).cast("long"), F.floor(F.col("rows") * p / 100)) for p in percents}
+    points = totals.select(*keys, F.explode(F.array_distinct(F.array(*limits.values()))).alias("inspected"))
+    met = found_at(df, points, keys, table)
+    met = met.join(totals, list(keys)) if keys else met.join(F.broadcast(totals))
+    found = [F.max(F.when(F.col("inspected") == limit, F.col("found"))).alias(f"found_{k}") for k, limit in enumerate(limits.values())]
+    out = met.groupBy(*keys, "rows", "anomalies").agg(*found)
     columns = []
     for k, (p, limit) in enumerate(limits.items()):
         columns.append(F.when(F.col("anomalies") > 0, F.col(f"found_{k}") * 100.0 / F.col("anomalies")).otherwise(F.lit(0.0)).alias(f"top_{p:.1f}pct_anomalies_found"))
@@ -94,18 +131,19 @@ def inspection_percents() -> list[float]:
     return [float(x) for (a, b), n in zip(pairwise(INSPECTION_EDGES), INSPECTION_COUNTS, strict=True) for x in np.linspace(a, b, n)]
 
 
-def detection_curve(df: DataFrame, keys: Sequence[str] = (), ranked: DataFrame | None = None) -> DataFrame:
+def detection_curve(df: DataFrame, keys: Sequence[str] = (), table: DataFrame | None = None) -> DataFrame:
     """(keys, inspected, x, y) of (filename, score, truth): percent of anomalies found by percent inspected.
 
     Points are the rounded (half to even) distinct counts of the inspection percentages, with 0 and
     all rows. y is null where there is no anomaly, but at 0.
     """
-    rows = prefix_sums(df, [F.desc("score"), F.asc("filename")], {"rank": F.lit(1).cast("long"), "found": F.col("truth").cast("long")}, keys) if ranked is None else ranked
-    totals = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("truth").alias("anomalies"))
+    table = written(score_table(df, keys), "scores") if table is None else table
+    totals = _totals(table, keys)
     counts = F.array(F.col("rows"), *(F.bround(F.col("rows") * F.lit(p) / 100).cast("long") for p in inspection_percents()))
     # At most 121 points for each key.
-    points = totals.withColumn("inspected", F.explode(F.array_distinct(F.filter(counts, lambda c: c > 0))))
-    met = rows.select(*keys, F.col("rank").alias("inspected"), "found").join(points, [*keys, "inspected"])
+    points = totals.select(*keys, F.explode(F.array_distinct(F.filter(counts, lambda c: c > 0))).alias("inspected"))
+    met = found_at(df, points, keys, table)
+    met = met.join(totals, list(keys)) if keys else met.join(F.broadcast(totals))
     share = F.when(F.col("anomalies") > 0, 100.0 * F.col("found") / F.col("anomalies"))
     curve = met.select(*keys, "inspected", (F.col("inspected") * 100.0 / F.col("rows")).alias("x"), share.alias("y"))
     zero = totals.select(*keys, F.lit(0).cast("long").alias("inspected"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
@@ -179,7 +217,8 @@ def score_kde(df: DataFrame, points: int = 200) -> DataFrame:
 
 def evaluate(df: DataFrame, percents: Sequence[float] = TOP_PERCENT, keys: Sequence[str] = ()) -> DataFrame:
     """One row for each key of (filename, score, truth): areas, prevalence and top-percent metrics."""
-    a = areas(df, keys)
-    t = top_percent_metrics(df, percents, keys)
+    table = written(score_table(df, keys), "scores")
+    a = areas(df, keys, table)
+    t = top_percent_metrics(df, percents, keys, table)
     out = a.join(t, list(keys)) if keys else a.join(F.broadcast(t))
     return out.withColumn("prevalence", F.col("p") / (F.col("p") + F.col("n"))).withColumnRenamed("p", "anomalies").withColumnRenamed("n", "nominals")
