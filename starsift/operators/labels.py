@@ -196,3 +196,9 @@ def stamp(ts: Column) -> Column:
 def run_id(ts: Column) -> Column:
     """A time as runs are named."""
     return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def duration(seconds: Column) -> Column:
+    """A number of seconds as hours:minutes:seconds."""
+    part = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    return F.concat_ws(":", F.floor(seconds / 3600).cast("string"), part(seconds % 3600 / 60), part(seconds % 60))

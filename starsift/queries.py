@@ -295,10 +295,7 @@ def run_type_case(spark, d):
  (value::BIGINT * 60 // 3600)::VARCHAR || ':' || lpad((value::BIGINT * 60 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((value::BIGINT * 60 % 60)::VARCHAR, 2, '0') AS took FROM (SELECT event_id, ts, floor(value) AS value FROM events)""")
 def stamp(spark, d):
     ts = F.col("ts").cast("timestamp")
-    seconds = F.floor("value") * 60
-    part = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
-    took = F.concat(F.floor(seconds / 3600).cast("string"), F.lit(":"), part(F.floor(seconds % 3600 / 60)), F.lit(":"), part(seconds % 60))
-    return P.table(spark, d, "events").select("event_id", L.stamp(ts).alias("stamp"), L.run_id(ts).alias("run_id"), took.alias("took"))
+    return P.table(spark, d, "events").select("event_id", L.stamp(ts).alias("stamp"), L.run_id(ts).alias("run_id"), L.duration(F.floor("value") * 60).alias("took"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'purchase')")
@@ -530,9 +527,11 @@ def compare_detection(spark, d):
     return found.unionByName(needed).select("anomaly_class", "kind", "point", r6("value"))
 
 
-@query()
+@query(f"""WITH {P.SCORES}, s AS (SELECT min(score) AS lo, max(score) AS hi, stddev_samp(score) * pow(count(*), -0.2) AS h, count(*)::DOUBLE AS n FROM p),
+x AS (SELECT k, lo + k * (hi - lo) / 199 AS x, h, n FROM s, range(200) r(k))
+SELECT round(any_value(x), 6) AS x, round(sum(exp(-pow((x - score) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density FROM x, p GROUP BY k""")
 def score_kde(spark, d):
-    return M.score_kde(P.scores(spark, d))
+    return M.score_kde(P.scores(spark, d)).select(r6("x"), r6("density"))
 
 
 # --- histories of runs -----------------------------------------------------------------------------------------------
@@ -741,6 +740,52 @@ def blob_table(spark, d):
     return I.read_blob_table(spark, path).select(F.regexp_extract("filename", r"\d+", 0).cast("long").alias("page_id"), "filename", F.octet_length("content").cast("long").alias("n"))
 
 
+@query("SELECT split, label, page_id FROM (SELECT CASE page_id % 2 WHEN 0 THEN 'train' ELSE 'test' END AS split, split_part(url, '/', 3) AS label, page_id FROM pages)")
+def nested_images(spark, d):
+    path = new_path(spark, "nested")
+    rows = P.table(spark, d, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("label"), F.struct(F.col("page_id").cast("string").cast("binary").alias("bytes")).alias("image"))
+    for k, split in enumerate(("train", "test")):  # the splits are told apart by names of files
+        rows.filter(F.col("page_id") % 2 == k).drop("page_id").write.mode("append").option("mapreduce.output.basename", split).parquet(path)
+    return I.read_nested_images(spark, path).select("split", "label", F.col("content").cast("string").cast("long").alias("page_id"))
+
+
+@query("SELECT page_id, 'http://list/' || page_id AS path FROM pages")
+def file_list(spark, d):
+    path = new_path(spark, "list")
+    lines = F.concat(F.lit("  http://list/"), F.col("page_id").cast("string"), F.lit(" "))
+    P.table(spark, d, "pages").select(F.explode(F.array(lines, F.lit("  "))).alias("value")).write.text(path)
+    return I.read_file_list(spark, path).select(F.element_at(F.split("path", "/"), -1).cast("long").alias("page_id"), "path")
+
+
+@query(f"WITH {P.SCORES} SELECT filename, round(score, 6) AS score FROM p")
+def append_predictions(spark, d):
+    path, pred = new_path(spark, "store"), P.scores(spark, d).select("vec_id", "filename", "score")
+    I.append_predictions(pred.filter("vec_id % 2 = 0"), path)
+    return I.append_predictions(pred.filter("vec_id % 2 = 1"), path).select("filename", r6("score"))
+
+
+SPLIT_SQL = f"WITH {P.VECTORS}, f AS (SELECT filename, CASE WHEN label_idx < 5 THEN label_idx ELSE -1 END AS label FROM v)"
+
+
+def _split_tables(spark, d):
+    path = new_path(spark, "split")
+    v = P.vectors(spark, d).select("filename", F.when(F.col("label_idx") < 5, F.col("label_idx")).otherwise(-1).cast("int").alias("label"), F.col("features")[0].alias("value"))
+    I.write_split_tables(v, path, v.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    return path
+
+
+@query(SPLIT_SQL + " SELECT filename FROM f WHERE label = -1 AND filename NOT LIKE '%3.jpeg'")
+def split_unlabeled(spark, d):
+    path = _split_tables(spark, d)
+    return I.read_unlabeled(spark, path, P.vectors(spark, d).filter(F.col("filename").endswith("3.jpeg"))).select("filename")
+
+
+@query(SPLIT_SQL + """, s AS (SELECT avg(features[1]) AS mean, stddev_pop(features[1]) AS std FROM v) SELECT filename, -1 AS label, round(mean, 6) AS mean, round(std, 6) AS std FROM f, s""")
+def split_reload(spark, d):
+    path = _split_tables(spark, d)
+    return I.read_split_tables(spark, path).join(F.broadcast(I.read_split_stats(spark, path))).select("filename", "label", r6("mean"), r6("std"))
+
+
 # --- scoring, training, rounds ---------------------------------------------------------------------------------------
 
 MODEL = scoring.LinearModel([[0.0, (k % 5 - 2) / 2] for k in range(64)], [0.0, 0.1])

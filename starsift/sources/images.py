@@ -89,14 +89,25 @@ def append_predictions(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_split_tables(df: DataFrame, path: str) -> None:
-    """(filename, label, ...) in two parts, labeled and not."""
-    df.withColumn("is_labeled", F.col("label").isNotNull() & (F.col("label") >= 0)).write.mode("overwrite").partitionBy("is_labeled").parquet(path)
+def write_split_tables(df: DataFrame, path: str, stats: DataFrame | None = None) -> None:
+    """(filename, label, ...) in two parts, labeled and not; ``stats``, such as mean and std, beside them."""
+    df.withColumn("is_labeled", F.col("label").isNotNull() & (F.col("label") >= 0)).write.mode("overwrite").partitionBy("is_labeled").parquet(f"{path}/files")
+    if stats is not None:
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_split_tables(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of both parts with the label -1, as of files that nobody labeled."""
+    return spark.read.parquet(f"{path}/files").drop("is_labeled").withColumn("label", F.lit(-1))
+
+
+def read_split_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/stats")
 
 
 def read_unlabeled(spark: SparkSession, path: str, labels: DataFrame) -> DataFrame:
     """The unlabeled part without files that were labeled meanwhile."""
-    return spark.read.parquet(path).filter("not is_labeled").drop("is_labeled").join(labels.select("filename"), "filename", "left_anti")
+    return spark.read.parquet(f"{path}/files").filter("not is_labeled").drop("is_labeled").join(labels.select("filename"), "filename", "left_anti")
 
 
 def to_rgb(pixels: Column, channels: Column) -> Column:
@@ -106,13 +117,18 @@ def to_rgb(pixels: Column, channels: Column) -> Column:
     return F.when(F.size(pixels) > 0, F.flatten(F.transform(places, triple))).otherwise(pixels)
 
 
-def resize_block(pixels: np.ndarray, size: int) -> np.ndarray:
-    """(height, width, channels) to (size, size, channels): means of whole blocks, else the nearest pixel."""
-    h, w, c = pixels.shape
-    if h % size == 0 and w % size == 0:
-        return np.floor(pixels.reshape(size, h // size, size, w // size, c).mean(axis=(1, 3)) + 0.5).astype(np.uint8)
-    rows, cols = (np.arange(size) * h) // size, (np.arange(size) * w) // size
-    return pixels[rows][:, cols]
+def _shares(n: int, size: int) -> np.ndarray:
+    """(size, n): the share that each of ``n`` pixels has in each of ``size`` new ones."""
+    edges, at = np.arange(size + 1) * n / size, np.arange(n)
+    cover = np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at)
+    return np.clip(cover, 0, None) * size / n
+
+
+def resize_area(pixels: np.ndarray, size: int) -> np.ndarray:
+    """(height, width, channels) to (size, size, channels): a new pixel is the mean of the area that it covers."""
+    h, w, _ = pixels.shape
+    means = np.einsum("ih,hwc,jw->ijc", _shares(h, size), pixels.astype(np.float64), _shares(w, size), optimize=True)
+    return np.floor(np.round(means, 6) + 0.5).astype(np.uint8)
 
 
 def decode_images(images: DataFrame, size: int, on_error: str = "drop") -> DataFrame:
@@ -138,7 +154,7 @@ def decode_images(images: DataFrame, size: int, on_error: str = "drop") -> DataF
                 else:
                     pixels = np.frombuffer(data, np.uint8).reshape(h, w, c)
                     pixels = np.repeat(pixels, 3, axis=2) if c == 1 else pixels[:, :, 2::-1]
-                    pixels = resize_block(np.ascontiguousarray(pixels), size)
+                    pixels = resize_area(pixels, size)
                 names.append(name)
                 out.append(pixels.tobytes())
             yield pd.DataFrame({"filename": names, "pixels": out})

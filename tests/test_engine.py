@@ -88,6 +88,28 @@ def test_image_stream(spark, folder, tmp_path_factory):
     assert {r["filename"] for r in spark.read.parquet(out).collect()} == {"a.png", "b.PNG", "c.png", "bad.png"}
 
 
+@pytest.mark.parametrize(("h", "w", "size"), [(7, 5, 3), (3, 4, 6), (8, 8, 4), (1, 9, 2)])
+def test_resize_by_area(h, w, size):
+    pixels = np.random.default_rng(h * w).integers(0, 256, (h, w, 3)).astype(np.uint8)
+    fine = pixels.astype(float).repeat(size, axis=0).repeat(size, axis=1)  # whole blocks of h * w cells each
+    means = fine.reshape(size, h, size, w, 3).mean(axis=(1, 3))
+    assert (I.resize_area(pixels, size) == np.floor(np.round(means, 6) + 0.5)).all()
+
+
+def test_points_that_cut_ties(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, f"f{i:03d}", float(rng.integers(0, 4)), int(rng.integers(0, 2))) for k in ("a", "b") for i in range(60)]
+    rows += [("c", "x", None, 1), ("c", "y", None, 0), ("c", "z", 0.5, 0)]
+    df = spark.createDataFrame(rows, "k string, filename string, score double, truth int")
+    points = spark.createDataFrame([(k, i) for k in ("a", "b") for i in range(1, 61)] + [("c", 1), ("c", 2), ("c", 3)], "k string, inspected long")
+    found = {(r["k"], r["inspected"]): r["found"] for r in M.found_at(df, points, ["k"]).collect()}
+    expected = {}
+    for k in ("a", "b", "c"):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        expected |= {(k, i + 1): sum(r[3] for r in own[: i + 1]) for i in range(len(own))}
+    assert found == expected
+
+
 def test_label_csv(spark, tmp_path):
     (tmp_path / "l.csv").write_text("filename,label,note\na,normal,x\nb,anomaly,\n")
     df = L.read_labels(spark, str(tmp_path / "l.csv"))
@@ -113,7 +135,9 @@ def test_summaries_lists_and_split_tables(spark, tmp_path):
     (tmp_path / "list.txt").write_text(" a.png \n\nb.png\n")
     assert [r["path"] for r in I.read_file_list(spark, str(tmp_path / "list.txt")).collect()] == ["a.png", "b.png"]
     df = spark.createDataFrame([("a", 1), ("b", -1), ("c", -1)], "filename string, label int")
-    I.write_split_tables(df, str(tmp_path / "split"))
+    I.write_split_tables(df, str(tmp_path / "split"), df.agg(F.avg("label").alias("mean")))
+    assert {(r["filename"], r["label"]) for r in I.read_split_tables(spark, str(tmp_path / "split")).collect()} == {("a", -1), ("b", -1), ("c", -1)}
+    assert abs(I.read_split_stats(spark, str(tmp_path / "split")).first()["mean"] + 1 / 3) < 1e-12
     now = spark.createDataFrame([("b",)], "filename string")
     assert [r["filename"] for r in I.read_unlabeled(spark, str(tmp_path / "split"), now).collect()] == ["c"]
 
