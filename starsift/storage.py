@@ -37,14 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _paths[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, ``compression`` as the writer names it.
 
     This cuts the lineage: a lost executor costs its running tasks, not the table.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
