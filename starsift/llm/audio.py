@@ -2,7 +2,8 @@
 
 Payloads are stored as WAV files (mono, 8-bit) in a binary column. Features are computed from the
 stored bytes: polyphase resampling, overlapped log-mel filterbanks, and segments by energy with
-hysteresis. Filterbanks come as tensors of one fixed shape with the span of time that each covers.
+hysteresis. Filterbanks are stored as Arrow tensors of one fixed shape (half precision) with the span
+of time that each covers.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ENTER, STAY = 0.5, 0.0
 #: Frames that are transformed at once, which bounds memory.
 AT_ONCE = 4096
 PAD = 64
+#: Rows whose results a task holds at once.
+ROWS = 256
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -120,8 +123,8 @@ def features(payload: bytes) -> tuple[np.ndarray, list[tuple[float, float]], lis
     shared = math.gcd(RATE, TARGET_RATE)
     mel, energy = log_mel(resample(x, TARGET_RATE // shared, RATE // shared))
     n = math.ceil(len(mel) / FRAMES)
-    tensors = np.zeros((n * FRAMES, BANDS), np.float32)
-    tensors[: len(mel)] = np.round(mel, 3)
+    tensors = np.zeros((n * FRAMES, BANDS), np.float16)
+    tensors[: len(mel)] = mel
     second = lambda frame: round(frame * STEP / TARGET_RATE, 4)
     spans = [(second(k * FRAMES), second(min(len(mel), (k + 1) * FRAMES))) for k in range(n)]
     return tensors.reshape(n, FRAMES, BANDS), spans, [(second(a), second(b)) for a, b in segments(energy)]
@@ -167,7 +170,7 @@ def tensors(media: DataFrame) -> DataFrame:
                             pa.array(range(at, at + len(some)), pa.int64()),
                             pa.array([s for s, _ in some], pa.float64()),
                             pa.array([e for _, e in some], pa.float64()),
-                            pa.array(list(values[at : at + 256].reshape(len(some), -1)), pa.list_(pa.float32())),
+                            pa.array(list(values[at : at + 256].reshape(len(some), -1).astype(np.float32)), pa.list_(pa.float32())),
                             pa.array(begin, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
                         ],
                         names=["doc_id", "tensor_no", "start_s", "end_s", "tensor", "loud"],
@@ -183,27 +186,69 @@ def as_tensors(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("tensor"), "tensor", pa.ExtensionArray.from_storage(kind, flat))
 
 
-_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def pack(values: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """Tensors and their spans as an Arrow stream of one batch, the tensors as ones of the fixed shape SHAPE."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), FRAMES * BANDS)
+    columns = [pa.array([s for s, _ in spans], pa.float64()), pa.array([e for _, e in spans], pa.float64())]
+    columns.append(pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float16(), SHAPE), flat))
+    batch = pa.record_batch(columns, names=["start_s", "end_s", "tensor"])
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue()
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """A row for each of :func:`store`'s rows: what its stored bytes hold, and a digest of its features.
+def unpack(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """What :func:`pack` was given."""
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    values = table.column("tensor").chunk(0).to_numpy_ndarray()
+    return values, list(zip(table.column("start_s").to_pylist(), table.column("end_s").to_pylist(), strict=True))
 
-    ``feature`` is tensors:loud segments:loud seconds:digest of tensors and segments.
-    """
+
+def _by_batch(df: DataFrame, find, kinds: str) -> DataFrame:
+    """The rows that ``find`` gives for each row of ``df``, which it gets as Python values."""
+    schema = [(x.split(" ", 1)[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}.get(x.split(" ", 1)[1], _LOUD)) for x in kinds.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, n, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                stored = stored.as_py()
-                payload = from_wav(stored)
-                values, spans, loud = features(payload)
-                sha = hashlib.sha256(values.tobytes() + repr((spans, loud)).encode()).hexdigest()
-                feature = f"{len(values)}:{len(loud)}:{sum(b - a for a, b in loud):.2f}:{sha[:32]}"
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.record_batch(columns, names=[x.split()[0] for x in _DIGESTS.split(", ")])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _DIGESTS)
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                rows = [find(*row) for row in zip(*(c.to_pylist() for c in some.columns), strict=True)]
+                yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+
+    return df.mapInArrow(run, kinds)
+
+
+_LOUD = pa.list_(pa.list_(pa.float64()))
+_KEPT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def described(media: DataFrame) -> DataFrame:
+    """For each of :func:`store`'s rows: what its stored bytes hold, its tensors, and its loud segments.
+
+    ``tensors`` is an Arrow stream with the columns start_s, end_s and tensor (see :func:`pack`), ``loud``
+    has [start, end] in seconds of each segment.
+    """
+
+    def find(doc, n, stored):
+        payload = from_wav(stored)
+        values, spans, loud = features(payload)
+        of_payload = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]))
+        return doc, n, *of_payload, len(stored), hashlib.sha256(stored).hexdigest(), pack(values, spans), loud
+
+    return _by_batch(media.select("doc_id", "n_bytes", "media"), find, f"{_KEPT}, tensors binary, loud array<array<double>>")
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """A row for each of :func:`described`'s rows, its tensors and segments as a digest.
+
+    ``feature`` is tensors:loud segments:loud seconds:digest of tensors, their spans and segments.
+    """
+
+    def find(*row):
+        *kept, tensors, loud = row
+        values, spans = unpack(tensors)
+        sha = hashlib.sha256(values.tobytes() + repr((spans, loud)).encode()).hexdigest()
+        return *kept, f"{len(values)}:{len(loud)}:{sum(b - a for a, b in loud):.2f}:{sha[:32]}"
+
+    return _by_batch(found, find, f"{_KEPT}, feature string")

@@ -32,8 +32,8 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = written(audio.store(table(spark, sf_dir, "documents")), "media")
-    return audio.digests(media)
+    media = written(audio.store(table(spark, sf_dir, "documents")), "media", "zstd")
+    return audio.digests(written(audio.described(media), "tensors", "zstd"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

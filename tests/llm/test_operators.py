@@ -250,7 +250,7 @@ def test_resampling_odd_tables(spark, odd, empty, labels):
 
 
 def test_audio_stores_and_reads_back(spark, odd, empty):
-    got = sorted((r.asDict() for r in audio.digests(audio.store(odd)).collect()), key=lambda r: (r["doc_id"] or 0, r["n_bytes"]))
+    got = sorted((r.asDict() for r in audio.digests(audio.described(audio.store(odd))).collect()), key=lambda r: (r["doc_id"] or 0, r["n_bytes"]))
     by_id = {r["doc_id"]: r for r in got}
     assert len(got) == len(ODD)
     for doc, text, *_ in ODD:
@@ -259,12 +259,41 @@ def test_audio_stores_and_reads_back(spark, odd, empty):
         r = by_id[doc]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert by_id[6]["feature"] == by_id[7]["feature"] and by_id[1]["feature"] == by_id[2]["feature"]
-    assert audio.digests(audio.store(empty)).count() == 0
+    assert audio.digests(audio.described(audio.store(empty))).count() == 0
     stored = audio.store(odd).filter("doc_id = 5").first()["media"]
     with wave.open(io.BytesIO(bytes(stored))) as f:
         assert (f.getnchannels(), f.getsampwidth()) == (1, 1)
 
 
+def test_tensors_are_stored_whole_with_their_spans(spark, odd):
+    for row in audio.described(audio.store(odd.filter("doc_id in (4, 6)"))).collect():
+        payload = audio.from_wav(bytes(audio.store(odd.filter(F.col("doc_id") == row["doc_id"])).first()["media"]))
+        values, spans, loud = audio.features(payload)
+        stored, kept = audio.unpack(bytes(row["tensors"]))
+        assert stored.dtype == np.float16 and stored.shape == (len(spans), *audio.SHAPE)
+        assert np.array_equal(stored, values) and kept == spans and [tuple(x) for x in row["loud"]] == loud
+
+
+def test_log_mel_by_direct_sums():
+    x = np.random.default_rng(3).normal(scale=0.3, size=700).astype(np.float32)
+    mel, energy = audio.log_mel(x)
+    assert len(mel) == len(energy) == 1 + -(-(700 - audio.WINDOW) // audio.STEP)
+    t, bins = np.arange(audio.WINDOW), np.arange(audio.FFT // 2 + 1)
+    waves = np.exp(-2j * np.pi * bins[:, None] * t / audio.FFT)
+    hertz = bins * audio.TARGET_RATE / audio.FFT
+    points = np.linspace(0, 2595 * np.log10(1 + audio.TARGET_RATE / 2 / 700), audio.BANDS + 2)
+    edges = 700 * (10 ** (points / 2595) - 1)
+    for k in range(len(mel)):
+        frame = np.zeros(audio.WINDOW)
+        own = x[k * audio.STEP : k * audio.STEP + audio.WINDOW]
+        frame[: len(own)] = own
+        assert np.isclose(energy[k], 10 * np.log10((frame**2).mean() + 1e-8), atol=1e-3)
+        power = np.abs(waves @ (frame * (0.5 - 0.5 * np.cos(2 * np.pi * t / (audio.WINDOW - 1))))) ** 2
+        for b in range(audio.BANDS):
+            bank = np.interp(hertz, edges[b : b + 3], [0, 1, 0])
+            assert np.isclose(mel[k, b], np.log(power @ bank + 1e-6), atol=1e-2)
+
+
 def test_polyphase_is_upsampling_filtering_and_decimation():
     x = np.random.default_rng(0).normal(size=500).astype(np.float32)
     for up, down in ((3, 4), (1, 2), (5, 3)):
