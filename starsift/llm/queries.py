@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, quality, secrets, toxicity
+from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, periodic, quality, secrets, toxicity
 from starsift.storage import written
 
 
@@ -66,6 +66,29 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_paths(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # One document in ten gets a periodic tail: its words from number a on repeat the first p of them.
+    docs = docs.withColumn("words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(periodic.WORD), F.lit(0)))
+    docs = docs.withColumn("n", F.size("words")).withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n")), " ")
+    docs = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), planted).otherwise(F.col("text")).alias("text"))
+    best = periodic.strongest()
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = periodic.periodic_runs(docs).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -78,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_source_schedule": op9_source_schedule,
         "op10_secret_ledger": op10_secret_ledger,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
