@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, periodic, quality, secrets, toxicity
+from starsift.llm import audio, bpe, chat, embeddings, html, lloyd, mixing, order_minhash, periodic, quality, secrets, suffix_dedup, toxicity
 from starsift.storage import written
 
 
@@ -66,6 +66,45 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_paths(docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+#: Of op11: centroids, rounds, components, and what a component is multiplied by.
+CENTROIDS, ROUNDS, DIMS, SCALE = 40, 5, 64, 256
+
+
+def op11_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    rows, centroids = lloyd.cluster(table(spark, sf_dir, "embeddings"), start, CENTROIDS, ROUNDS, DIMS, SCALE)
+    rows = written(rows, "clustered")
+    own = rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    own = own.join(centroids.select("cluster", digest), "cluster").crossJoin(rows.agg(F.sum("distance").alias("inertia")))  # one row
+    return rows.join(F.broadcast(own), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # a row for each of CENTROIDS
+
+
+def _op11_sql() -> str:
+    """The rounds written out one after the other; floor(sum / count) by the remainder, as // cuts towards zero."""
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, d, CAST(floor({SCALE} * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS v FROM kept, range(1, {DIMS + 1}) AS dims(d))",
+        f"first AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), embedding) - 1 AS c FROM kept QUALIFY c < {CENTROIDS})",
+        "c0 AS MATERIALIZED (SELECT c, d, v FROM first JOIN x USING (r))",
+    ]
+    for k in range(ROUNDS + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, c, dist FROM (SELECT r, c, CAST(sum((x.v - c{k}.v) * (x.v - c{k}.v)) AS BIGINT) AS dist FROM x JOIN c{k} USING (d) GROUP BY r, c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, c) = 1)")
+        if k < ROUNDS:
+            steps.append(f"s{k} AS (SELECT c, d, sum(v) AS s, count(*) AS n FROM a{k} JOIN x USING (r) GROUP BY c, d)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT o.c, o.d, CAST(CASE WHEN n IS NULL THEN o.v ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS v FROM c{k} o LEFT JOIN s{k} USING (c, d))")
+    steps.append(f"digests AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY c)")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{ROUNDS} JOIN kept USING (r) JOIN digests USING (c)"
+    )
+
+
+def op12_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # One document in ten gets a periodic tail: its words from number a on repeat the first p of them.
@@ -101,9 +140,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_source_schedule": op9_source_schedule,
         "op10_secret_ledger": op10_secret_ledger,
+        "op11_sharded_lloyd": op11_sharded_lloyd,
+        "op12_suffix_merge": op12_suffix_merge,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_sharded_lloyd": _op11_sql()}
