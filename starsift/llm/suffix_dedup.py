@@ -55,7 +55,7 @@ class Sizes:
     They bound memory and change no result. ``driver`` keys for each range are sampled at most.
     """
 
-    chunk: int = 16 << 20
+    chunk: int = 12 << 20
     step: int = 1 << 18
     segment: int = 256
     hot: int = 4096
@@ -200,50 +200,59 @@ def _settle(rows: pd.DataFrame, sizes: Sizes) -> pd.DataFrame:
 # --- records and sorted runs -----------------------------------------------------------------------------------------
 
 
+_HOT = 255
+_BYTE = [bytes([k]) for k in range(256)]
+
+
 @dataclass
 class _Records:
     """The distinct records of a chunk, by number: key (bytes on the left, or HOT, and the bytes), smallest document.
 
-    ``pieces`` lists (number, first string's place, last one's place, anchor, document id) in page order.
+    The arrays are in page order: number, first string's place, last one's place, anchor, document id.
     """
 
     keys: list[bytes]
-    least: list[int]
-    pieces: list[tuple[int, int, int, int, int]]
-
-
-_HOT = 255
-_BYTE = [bytes([k]) for k in range(256)]
+    least: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    at: np.ndarray
+    doc: np.ndarray
 
 
 def _records(ids: bytes, lengths: bytes, data: bytes, flags: Iterable | None, sizes: Sizes, buckets: int) -> _Records:
-    out = _Records([], [], [])
+    none = np.empty(0, dtype=np.int64)
     states = {f["bucket"]: np.frombuffer(f["states"], dtype=np.uint8) for f in (() if flags is None else flags)}
     if not states:
-        return out
+        return _Records([], none, none, none, none, none, none)
     ends = np.cumsum(np.frombuffer(lengths, dtype=np.int64))
     h, at, first, last = anchors(data, ends, sizes.step)
-    hashes, of = np.unique(h, return_inverse=True)
-    edges = _edges(hashes, buckets)
-    state = np.zeros(len(hashes), dtype=np.uint8)
+    order = np.argsort(h)
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    edges = _edges(h[order[begins]], buckets)
+    state = np.zeros(len(begins), dtype=np.uint8)
     for b, some in states.items():
         state[edges[b] : edges[b + 1]] = some
-    state = state[of]
-    keep = np.flatnonzero(state)
-    doc = np.frombuffer(ids, dtype=np.int64)[np.searchsorted(ends, first[keep], side="right")]
+    of = np.empty(len(h), dtype=np.uint8)
+    of[order] = np.repeat(state, np.diff(np.append(begins, len(h))))
+    keep = np.flatnonzero(of)
+    state, at, first, last = of[keep], at[keep], first[keep], last[keep]
+    # Of a large group each string is a record, whose anchor is its beginning.
+    times = np.where(state == 2, last - first + 1, 1)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    hot = np.repeat(state == 2, times)
+    at, first, last = (np.repeat(x, times) for x in (at, first, last))
+    first = np.where(hot, first + nth, first)
+    at, last = np.where(hot, first, at), np.where(hot, first, last)
+    doc = np.frombuffer(ids, dtype=np.int64)[np.searchsorted(ends, first, side="right")]
     numbers: dict[bytes, int] = {}
-    for a, f, z, d, s in zip(at[keep].tolist(), first[keep].tolist(), last[keep].tolist(), doc.tolist(), state[keep].tolist(), strict=True):
-        # Of a large group each string is a record, whose anchor is its beginning.
-        for a_, f_, z_, mark in [(a, f, z, _BYTE[a - f])] if s == 1 else [(p, p, p, _BYTE[_HOT]) for p in range(f, z + 1)]:
-            key = mark + data[f_ : z_ + NEED]
-            number = numbers.setdefault(key, len(numbers))
-            if number == len(out.least):
-                out.least.append(d)
-            elif d < out.least[number]:
-                out.least[number] = d
-            out.pieces.append((number, f_, z_, a_, d))
-    out.keys = list(numbers)
-    return out
+    put, number = numbers.setdefault, []
+    for mark, f, z in zip(np.where(hot, _HOT, at - first).tolist(), first.tolist(), (last + NEED).tolist(), strict=True):
+        number.append(put(_BYTE[mark] + data[f:z], len(numbers)))
+    found = np.array(number, dtype=np.int64)
+    least = np.full(len(numbers), NO_ID)
+    np.minimum.at(least, found, doc)
+    return _Records(list(numbers), least, found, first, last, at, doc)
 
 
 def _sortable(key: bytes) -> tuple[bytes, bytes]:
@@ -256,11 +265,10 @@ def _group_bytes(key: bytes) -> int:
     return 1 + (NEED if key[0] else GRAM)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
+def _common(a: bytes, b: bytes, n: int = 0) -> int:
+    """How many leading bytes are equal; the first n are known to be."""
+    most = min(len(a), len(b))
+    while n < most and a[n] == b[n]:
         n += 1
     return n
 
@@ -304,7 +312,7 @@ def _runs(batches: Iterator[pd.DataFrame], sizes: Sizes, buckets: int) -> Iterat
     for batch in batches:
         for chunk, ids, lengths, data, flags in zip(batch["chunk"], batch["ids"], batch["lengths"], batch["data"], batch["flags"], strict=True):
             found = _records(ids, lengths, data, flags, sizes, buckets)
-            run = sorted((*_sortable(key), number, doc) for number, (key, doc) in enumerate(zip(found.keys, found.least, strict=True)))
+            run = sorted((*_sortable(key), number, doc) for number, (key, doc) in enumerate(zip(found.keys, found.least.tolist(), strict=True)))
             cut = [run[k : k + sizes.segment] for k in range(0, len(run), sizes.segment)]
             if cut:
                 yield pd.DataFrame({"chunk": chunk, "seq": range(len(cut)), "first": [c[0][0] for c in cut], "last": [c[-1][0] for c in cut], "n": [len(c) for c in cut], "data": [encode_front(c) for c in cut]})
@@ -332,41 +340,39 @@ def _to_ranges(batches: Iterator[pd.DataFrame], splitters: list[bytes]) -> Itera
 
 # --- merging ---------------------------------------------------------------------------------------------------------
 
+Run = tuple[list[int], list[Record]]
+
 
-def _run(segments: list[bytes]) -> Iterator[tuple[int, Record]]:
-    """One run from its segments: (bytes shared with the record before, record)."""
-    before = b""
+def _run(segments: list[bytes]) -> Run:
+    """One run from its segments: for each record the bytes shared with the one before, and the record."""
+    shared: list[int] = []
+    records: list[Record] = []
     for data in segments:
-        for nth, (same, record) in enumerate(decode_front(data)):
-            yield (same if nth else _common(before, record[0])), record
-            before = record[0]
+        first = len(records)
+        for same, record in decode_front(data):
+            shared.append(same)
+            records.append(record)
+        if first:
+            shared[first] = _common(records[first - 1][0], records[first][0])
+    return shared, records
 
 
-def merged(runs: list[Iterator[tuple[int, Record]]]) -> Iterator[tuple[int, int, Record]]:
+def merged(runs: list[Run]) -> Iterator[tuple[int, int, Record]]:
     """(run, bytes shared with the record put out before, record) in order, by a loser tree of common prefixes.
 
     ``shared[i]`` is how much the run's next record has in common with the record that won against it
     last, which on the way of the last one put out is that record itself; -1 once a run has ended.
     """
     k = len(runs)
-    heads: list = [next(run, None) for run in runs]
-    shared = [0 if head else -1 for head in heads]
-    keys = [head[1][0] if head else b"" for head in heads]
-    loser = [0] * max(k, 1)
+    shared = [0 if records else -1 for _, records in runs]
+    keys = [records[0][0] if records else b"" for _, records in runs]
+    places, ends, loser = [0] * k, [len(records) for _, records in runs], [0] * max(k, 1)
 
     def beats(i: int, j: int) -> bool:
-        """Whether run i comes before run j; the loser's prefix is then that with the winner."""
-        if shared[i] != shared[j]:
-            return shared[i] > shared[j]
-        if shared[i] < 0:
-            return True
+        """Whether run i comes before run j, where the prefixes are equal; the loser's is then that with the winner."""
         a, b, at = keys[i], keys[j], shared[i]
-        x, y = a[at:], b[at:]
-        if x == y:
-            shared[j] = len(b)
-            return True
-        at += _common(x, y)
-        if at == len(a) or (at < len(b) and a[at] < b[at]):
+        at = len(a) if a[at:] == b[at:] else _common(a, b, at)
+        if a[at : at + 1] <= b[at : at + 1]:
             shared[j] = at
             return True
         shared[i] = at
@@ -375,57 +381,59 @@ def merged(runs: list[Iterator[tuple[int, Record]]]) -> Iterator[tuple[int, int,
     winners = [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
         i, j = winners[2 * node], winners[2 * node + 1]
-        winners[node], loser[node] = (i, j) if beats(i, j) else (j, i)
+        first = shared[i] > shared[j] if shared[i] != shared[j] else shared[i] < 0 or beats(i, j)
+        winners[node], loser[node] = (i, j) if first else (j, i)
     i = winners[1] if k > 1 else 0
     while k and shared[i] >= 0:
-        yield i, shared[i], heads[i][1]
-        heads[i] = head = next(runs[i], None)
-        if head:
-            shared[i], keys[i] = head[0], head[1][0]
+        same, records = runs[i]
+        at = places[i]
+        yield i, shared[i], records[at]
+        places[i] = at = at + 1
+        if at < ends[i]:
+            mine = shared[i] = same[at]
+            keys[i] = records[at][0]
         else:
-            shared[i] = -1
+            mine = shared[i] = -1
         node = (i + k) >> 1
         while node:
             j = loser[node]
-            if shared[i] < shared[j] or (shared[i] == shared[j] and not beats(i, j)):
-                loser[node], i = i, j
+            other = shared[j]
+            # The longer prefix with what was put out comes first; of equal ones the bytes behind it decide.
+            if mine < other or (mine == other and mine >= 0 and not beats(i, j)):
+                loser[node], i, mine = i, j, other
             node >>= 1
 
 
-#: A string's answer: the record's number, its anchor's first and last place within the strings, and the smallest document.
-ANSWER = np.dtype([("number", "<u4"), ("low", "u1"), ("high", "u1"), ("doc", "<i8")])
+#: An answer: the record's number, and its anchor's first and last place within the strings.
+ANSWER = np.dtype([("number", "<u4"), ("low", "u1"), ("high", "u1")])
 
 
-def resolve(group: list[tuple[int, Record]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(run, number, low, high, document) where the strings with the anchor at low to high have a smaller document elsewhere."""
+def resolve(group: list[tuple[int, Record]]) -> Iterator[tuple[int, int, int, int]]:
+    """(run, number, low, high): the strings with the anchor at low to high start in a document before the record's smallest."""
     if len(group) < 2:
         return
     least: dict[tuple[bytes, bytes], int] = {}
     for _, (key, left, _, doc) in group:
-        least[key, left] = min(doc, least.get((key, left), doc))
-    strings: dict[bytes, int] = {}
+        if doc < least.get((key, left), NO_ID + 1):
+            least[key, left] = doc
+    partly: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
     if len(least) > 1:
-        for (key, left), doc in least.items():
-            whole, o = left + key[1:], len(left)
+        earliest: dict[bytes, int] = {}
+        for (key, left), doc in sorted(least.items(), key=lambda x: x[1]):
+            whole, high, some = left + key[1:], len(left), []
             for p in range(len(whole) - NEED + 1):
-                s = whole[p : p + NEED]
-                strings[s] = min(doc, strings.get(s, doc))
+                if earliest.setdefault(whole[p : p + NEED], doc) < doc:
+                    if some and some[-1][0] == high - p + 1:
+                        some[-1] = (high - p, some[-1][1])
+                    else:
+                        some.append((high - p, high - p))
+            partly[key, left] = some
     for run, (key, left, number, doc) in group:
-        low, high = NEED - len(key) + 1, len(left)
-        if not strings:
-            if least[key, left] < doc:
-                yield run, number, low, high, least[key, left]
-            continue
-        whole = left + key[1:]
-        best = [strings[whole[high - o : high - o + NEED]] for o in range(low, high + 1)]
-        o = 0
-        while o < len(best):
-            z = o
-            while z + 1 < len(best) and best[z + 1] == best[o]:
-                z += 1
-            if best[o] < doc:
-                yield run, number, low + o, low + z, best[o]
-            o = z + 1
+        if least[key, left] < doc:
+            yield run, number, NEED - len(key) + 1, len(left)
+        else:
+            for low, high in partly.get((key, left), ()):
+                yield run, number, low, high
 
 
 def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -435,9 +443,10 @@ def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunks, found = list(segments), [[] for _ in segments]
         group: list[tuple[int, Record]] = []
         for run, same, record in merged([_run(x) for x in segments.values()]):
-            if group and same < _group_bytes(record[0]):
-                for i, *answer in resolve(group):
-                    found[i].append(tuple(answer))
+            if same <= GRAM or same < _group_bytes(record[0]):
+                if len(group) > 1:
+                    for i, *answer in resolve(group):
+                        found[i].append(tuple(answer))
                 group = []
             group.append((run, record))
         for i, *answer in resolve(group):
@@ -461,22 +470,22 @@ def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _marked(found: _Records, answers: Iterable | None) -> tuple[np.ndarray, np.ndarray]:
-    """Where strings that go begin (first, last), in page order."""
-    more: dict[int, list[tuple[int, int, int]]] = {}
-    for data in () if answers is None else answers:
-        for number, low, high, doc in np.frombuffer(data, dtype=ANSWER).tolist():
-            more.setdefault(number, []).append((low, high, doc))
-    first, last = [], []
-    for number, f, z, a, doc in found.pieces:
-        if found.least[number] < doc:
-            first.append(f)
-            last.append(z)
-        elif number in more:
-            for low, high, least in sorted(more[number], reverse=True):
-                if least < doc:
-                    first.append(max(f, a - high))
-                    last.append(min(z, a - low))
-    return np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
+    """(first, last) places where strings begin that go, in page order."""
+    gone = found.least[found.number] < found.doc if len(found.number) else np.empty(0, dtype=bool)
+    first, last = [found.first[gone]], [found.last[gone]]
+    more = np.concatenate([np.empty(0, dtype=ANSWER), *(np.frombuffer(data, dtype=ANSWER) for data in (() if answers is None else answers))])
+    more = more[np.argsort(more["number"], kind="stable")]
+    # The pieces of a record's smallest document meet the record's answers.
+    rest = np.flatnonzero(~gone)
+    low = np.searchsorted(more["number"], found.number[rest], side="left")
+    times = np.searchsorted(more["number"], found.number[rest], side="right") - low
+    piece = np.repeat(rest, times)
+    answer = more[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    first.append(np.maximum(found.first[piece], found.at[piece] - answer["high"].astype(np.int64)))
+    last.append(np.minimum(found.last[piece], found.at[piece] - answer["low"].astype(np.int64)))
+    begins, ends = np.concatenate(first), np.concatenate(last)
+    order = np.argsort(begins, kind="stable")
+    return begins[order], ends[order]
 
 
 def _spans(first: np.ndarray, last: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
