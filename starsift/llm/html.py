@@ -8,8 +8,11 @@
 3. The text is taken anew from the containers on the first of the host's winning paths that the page
    has; a page without one falls back to its own best container.
 
-Elements of any kind are left out by tag, role or class, at any level. A class that may be an ordinary
-word (a "related-work" section) counts only where its element is short or mostly links.
+Elements of any kind are left out by tag, role or class, at any level and of any length. Words of
+classes are evidence, not proof: a layout that is named after what stands beside the text (a
+"content-sidebar-wrap") is no sidebar. So where nothing outside such elements looks like an article, and
+the page's best container lies within one, that container and what is around it stay; and the containers
+of a host's winning path stay whatever is around them. Reader comments never stay for such reasons.
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ from starsift.storage import written
 VOTES = 3
 #: A path wins that is best on this share of the pages that the host's first path is best on.
 WINS = 0.1
-#: Characters of an element that a doubtful class leaves out, if it isn't mostly links.
-SHORT = 200
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -53,12 +54,13 @@ OUT_WORDS = {
     "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "popup", "promo", "promotion", "related", "recommended", "replies", "reply",
     "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets", "login", "search", "skip", "tags", "overlay", "paywall", "copyright", "alert", "feedback", "reactions", "discussion",
 }
-#: Of these, words that may be an article's own; words that always tell; and words that, beside a word
-#: of the list, say nothing of their own. Words of up to two letters say nothing either.
+#: Of these, words that may be an article's own; words of reader comments beside those with "comment"; how further such words begin;
+#: and words that make of a class a state of the page, which tells nothing ("has-sidebar").
 DOUBTFUL = {"tags", "alert", "feedback", "discussion", "search", "related", "recommended", "reactions", "share", "skip", "copyright", "respond"}
-CERTAIN = {
-    "advert", "adverts", "advertisement", "advertising", "sponsored", "cookie", "cookies", "gdpr", "navbar", "sidebar", "newsletter", "breadcrumb", "breadcrumbs", "pagination", "popup", "modal", "disqus", "masthead", "paywall",
-}
+READERS = {"disqus", "replies", "reply"}
+STEMS = ("advert", "adsby", "sidebar", "sponsor", "cookie", "newsletter", "breadcrumb", "subscri")
+STATES = {"has", "have", "with", "without", "no", "is", "open", "opened", "closed", "enabled", "disabled", "on", "off", "hide", "show"}
+#: Words that, beside a word of the list, say nothing of their own. Words of up to two letters say nothing either.
 PLAIN = {
     "article", "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "container", "content", "entry", "footer", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer",
     "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "top", "unit", "user", "view", "wrap", "wrapper", "zone",
@@ -71,13 +73,16 @@ class _Container:
     parent: int
     tag: str
     path: str
-    out: bool
+    out: bool  # as a tag, role or reader comments; after all by any reason, or within such
     good: bool
-    doubtful: bool = False
+    tells: bool = False  # a class says that it's no main text
+    doubtful: bool = False  # a class that may say so
+    linked: bool = False  # a class that says so where most is links
     inline: bool = False  # an element that holds no article of its own
+    headed: bool = False  # it has a heading of the page or a part
+    own_out: bool = False  # out by itself
+    never: bool = False  # out, or within what is, by tag, role or reader comments
     depth: int = 1
-    own: float = 0.0
-    score: float = 0.0
 
 
 @dataclass
@@ -101,20 +106,40 @@ def _attributes(text: str) -> tuple[list[str], str]:
     return words, role
 
 
-def _tells(words: list[str]) -> tuple[bool, bool]:
-    """Whether the words of class and id leave an element out, and whether they may."""
-    doubtful = False
+def _tells(words: list[str]) -> str:
+    """What the words of class and id say: "readers", "out", "doubtful", "linked" (out if mostly links) or nothing."""
+    said = ""
     for word in words:
         parts = set(_WORDS.findall(word))
-        found = parts & OUT_WORDS
-        if parts & CERTAIN or (found - DOUBTFUL and all(x in OUT_WORDS or x in PLAIN or len(x) <= 2 for x in parts)):
-            return True, True
-        doubtful |= bool(found)
-    return False, doubtful
+        found = {x for x in parts if x in OUT_WORDS or x.startswith(STEMS)}
+        if any(x in READERS or (x.startswith("comment") and not x.startswith(("commentar", "commentat"))) for x in parts) and not parts & STATES:
+            return "readers"
+        if not found or parts & STATES:
+            continue
+        if found - DOUBTFUL:
+            said = "out"
+        elif said != "out":
+            alone = all(x in OUT_WORDS or x in PLAIN or len(x) <= 2 for x in parts)
+            said = "doubtful" if alone or said == "doubtful" else "linked"
+    return said
+
+
+def _scores(page: _Page, counted: list[bool]) -> list[float]:
+    """For each container the letters of its own blocks outside links, and half of its children's, of those counted."""
+    own = [0.0] * len(page.containers)
+    for k, _, text, linked in page.pieces:
+        if counted[k]:
+            length = len(text) if not text.isspace() else 0
+            own[k] += -length / 2 if linked else length
+    total = list(own)
+    for k, c in enumerate(page.containers[1:], 1):
+        if counted[k] and own[k] > 0:
+            total[c.parent] += own[k] / 2
+    return [s * (1.5 if c.good else 1.0) for s, c in zip(total, page.containers, strict=True)]
 
 
 def _settle(page: _Page) -> None:
-    """Decide on doubtful elements by their text, and give the texts of inline ones that stay to the container."""
+    """Decide on elements whose classes tell, and give the texts of inline ones that stay to the container."""
     all_, top = page.containers, [0] * len(page.containers)
     length, linked = [0] * len(all_), [0] * len(all_)
     for k, _, text, in_link in page.pieces:
@@ -125,7 +150,29 @@ def _settle(page: _Page) -> None:
         length[all_[k].parent] += length[k]
         linked[all_[k].parent] += linked[k]
     for k, c in enumerate(all_[1:], 1):
-        c.out |= all_[c.parent].out or (c.doubtful and (length[k] < SHORT or 2 * linked[k] > length[k]))
+        c.own_out = c.out
+        c.never = c.out or all_[c.parent].never
+        c.doubtful |= c.linked and 2 * linked[k] > length[k]
+    if any(c.tells or c.doubtful for c in all_):
+        below = [False] * len(all_)  # at or below an element that tells
+        for k, c in enumerate(all_[1:], 1):
+            below[k] = c.tells or c.doubtful or below[c.parent]
+
+        def best(counted: list[bool]) -> int | None:
+            scores = _scores(page, counted)
+            return max((k for k, c in enumerate(all_) if counted[k] and not c.inline and scores[k] > 0), key=lambda k: (scores[k], -k), default=None)
+
+        outside = best([not c.never and not b for c, b in zip(all_, below, strict=True)])
+        if outside is None or not (all_[outside].good or all_[outside].headed):
+            inside = best([not c.never and not c.tells for c in all_])
+            if inside is None:  # all there is stands in elements that tell
+                inside = best([not c.never for c in all_])
+            while inside:
+                all_[inside].tells = all_[inside].doubtful = False
+                inside = all_[inside].parent
+    for k, c in enumerate(all_[1:], 1):
+        c.own_out |= c.tells or c.doubtful
+        c.out = c.own_out or all_[c.parent].out
         top[k] = top[c.parent] if c.inline and not c.out else k
         c.parent = top[c.parent]
     page.pieces = [(top[k], block, text, in_link) for k, block, text, in_link in page.pieces]
@@ -192,17 +239,19 @@ def read(page: str) -> _Page:
             if found.tag == tag:
                 found.depth += 1
         words, role = _attributes(rest)
-        tells, doubtful = _tells(words) if words and tag not in ("html", "body", "main", "article") else (False, False)
-        bad = tells or tag in OUT_TAGS or role in OUT_ROLES or bool(rest and _HIDDEN.search(rest))
+        said = _tells(words) if words and tag not in ("html", "body", "main", "article") else ""
+        bad = said == "readers" or tag in OUT_TAGS or role in OUT_ROLES or bool(rest and _HIDDEN.search(rest))
         inline = tag not in CONTAINERS
-        if inline and not bad and not doubtful:
+        if tag in ("h1", "h2"):
+            out.containers[stack[run - 1]].headed = True
+        if inline and not bad and not said:
             continue
         parent = stack[-1]
         above = out.containers[parent]
         parts = {p for w in words for p in _WORDS.findall(w)}
         name = ".".join([tag, *sorted({re.sub(r"\d+", "#", w) for w in words})])
         good = tag in GOOD_TAGS or bool(parts & GOOD_WORDS)
-        out.containers.append(_Container(parent, tag, above.path if inline else f"{above.path}/{name}", above.out or bad, good and not inline, doubtful, inline))
+        out.containers.append(_Container(parent, tag, above.path if inline else f"{above.path}/{name}", bad, good and not inline, said == "out", said == "doubtful", said == "linked", inline))
         stack.append(len(out.containers) - 1)
     _settle(out)
     return out
@@ -214,24 +263,15 @@ def scored(page: _Page) -> list[tuple[float, int]]:
     A container has the letters of its own blocks outside links, and half of its children's; the
     article's element or a telling class makes it half as much again.
     """
-    for k, _, text, linked in page.pieces:
-        c = page.containers[k]
-        if not c.out:
-            length = len(text) if not text.isspace() else 0
-            c.own += -length / 2 if linked else length
-    for c in page.containers:
-        c.score = c.own
-    for c in page.containers[1:]:
-        if not c.out and c.own > 0:
-            page.containers[c.parent].score += c.own / 2
-    return sorted(((c.score * (1.5 if c.good else 1.0), -k) for k, c in enumerate(page.containers) if c.score > 0 and not c.out), reverse=True)
+    scores = _scores(page, [not c.out for c in page.containers])
+    return sorted(((s, -k) for k, (s, c) in enumerate(zip(scores, page.containers, strict=True)) if s > 0 and not c.out), reverse=True)
 
 
 def text_of(page: _Page, chosen: set[int]) -> str:
-    """The blocks within the chosen containers, without what is no main text."""
+    """The blocks within the chosen containers, without what is no main text; what is around them doesn't count."""
     within = [False] * len(page.containers)
     for k, c in enumerate(page.containers):
-        within[k] = not c.out and not c.inline and (k in chosen or (c.parent >= 0 and within[c.parent]))
+        within[k] = not c.inline and ((k in chosen and not c.never) or (c.parent >= 0 and within[c.parent] and not c.own_out))
     blocks: dict[int, list[str]] = {}
     for k, block, text, _ in page.pieces:
         if within[k]:
@@ -241,14 +281,20 @@ def text_of(page: _Page, chosen: set[int]) -> str:
 
 
 def extract(page: str, paths: Sequence[str]) -> str:
-    """The main text by the first of ``paths`` with text, or by the page's own best container."""
+    """The main text by the first of ``paths`` with text, or by the page's own best container.
+
+    An article's element or class that stands on the page several times on one path is taken each time.
+    """
     parsed = read(page)
     for path in paths:
         text = text_of(parsed, {k for k, c in enumerate(parsed.containers) if c.path == path and not c.inline})
         if text:
             return text
-    best = scored(parsed)
-    return text_of(parsed, {-best[0][1]}) if best else ""
+    ranked = scored(parsed)
+    if not ranked:
+        return ""
+    best = parsed.containers[-ranked[0][1]]
+    return text_of(parsed, {k for k, c in enumerate(parsed.containers) if c is best or (best.good and c.path == best.path and not c.inline and not c.out)})
 
 
 def host(url_col: str) -> F.Column:
