@@ -190,6 +190,16 @@ def test_op11_equals_brute_force_on_the_given_table(spark, sf):
         assert r.centroid_sha256 == hashlib.sha256(",".join(map(str, c[r.cluster])).encode()).hexdigest()
 
 
+def test_op11_equals_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{sf}/embeddings.parquet')")
+    names = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    expected = con.execute(f"select {', '.join(names)} from ({queries.oracle_sql()['op11_sharded_lloyd']})").fetchall()
+    assert sorted(map(tuple, queries.op11_sharded_lloyd(spark, sf).select(names).collect())) == sorted(expected)
+
+
 def test_clusters_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.0, 0.5]), (1, [0.0, 0.5]), (None, [0.25, -0.1]), (3, None), (4, [1.0]), (5, [nan, 0.0]), (6, [inf, 0.0]), (7, [None, 0.0]), (8, []), (9, [1.0, 2.0, 3.0]), (2, [-1.0, 1.0])]

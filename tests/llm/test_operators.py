@@ -180,6 +180,45 @@ def test_ordinary_words_as_classes(name):
     assert html.extract(f'<body><div><p>{story}</p><div class="{name}"><a>one</a> <a>two</a></div></div></body>', ()) == story.strip()
 
 
+WRAPPERS = ["site-content has-sidebar", "content-sidebar-wrap", "modal-open", "page-with-sidebar", "no-sidebar", "sidebar-layout", "search-page", "widget-wrap"]
+LEFT_OUT = ["reader-comments", "comment-thread", "commentlist", "user-comments", "discussion", "legal-notice", "ad-large", "adsbygoogle", "sidebar", "related", "cookie-consent"]
+
+
+@pytest.mark.parametrize("words", [8, 300])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_layouts_named_after_what_stands_beside_the_text(spark, wrapper, words):
+    story = ("word " * words).strip()
+    inner = f"<h1>Head</h1><p>{story}</p>"
+    for box in (f"<article>{inner}</article>", f"<div class='c1'>{inner}</div>"):
+        page = f"<body><header>Site</header><div class='{wrapper}'>{box}<div class='sidebar'><p>Other news of the day</p></div></div><p>All rights</p></body>"
+        assert html.extract(page, ()) == f"Head\n{story}"
+        df = spark.createDataFrame([(k, "http://h.example/", page) for k in range(3)], "page_id long, url string, html string")
+        assert {r["text"] for r in html.main_text(df).collect()} == {f"Head\n{story}"}
+
+
+@pytest.mark.parametrize("words", [5, 400])
+@pytest.mark.parametrize("name", LEFT_OUT)
+def test_telling_elements_go_at_any_length(spark, name, words):
+    story = ("story " * 60).strip()
+    noise = f"<div class='{name}'><p>{'noise ' * words}</p><div class='inner'><p>{'noise ' * words}</p></div></div>"
+    for page in (f"<body><article><p>{story}</p>{noise}</article></body>", f"<body><article><p>{story}</p></article>{noise}</body>", f"<body><div class='b'><div class='a'><h1>story</h1><p>{story}</p></div>{noise}</div></body>"):
+        assert set(html.extract(page, ()).split()) == {"story"}
+        df = spark.createDataFrame([(k, "http://h.example/", page) for k in range(3)], "page_id long, url string, html string")
+        assert {w for r in html.main_text(df).collect() for w in r["text"].split()} == {"story"}
+
+
+def test_every_article_of_a_page():
+    page = "<body><div class='list'><article><p>one</p></article><article><p>two two</p></article></div><div class='related'><article><p>teaser text that is long</p></article></div></body>"
+    assert html.extract(page, ()) == "one\ntwo two"
+
+
+def test_a_page_within_one_telling_element():
+    assert html.extract("<body><div class='widget'><p>all that there is</p></div></body>", ()) == "all that there is"
+    assert html.extract("<body><div class='comments'><p>only readers</p></div></body>", ()) == ""
+    assert html.extract("<body><div class='story comments-open'><p>a story</p></div></body>", ()) == "a story"
+    assert html.extract("<body><div class='commentary'><p>a column</p></div></body>", ()) == "a column"
+
+
 def test_two_templates_of_a_host(spark):
     one = lambda k: f"<body><div class='one'><p>{'alpha ' * (30 + k)}</p></div><div class='talk'><p>{'noise ' * 9}</p></div></body>"
     two = lambda k, n: f"<body><section class='two'><p>{'beta ' * (30 + k)}</p></section><div class='talk'><p>{'noise ' * n}</p></div></body>"
@@ -646,6 +685,52 @@ def test_schedule_keeps_its_shares(spark):
             assert abs(sum(r["slot"] < upto for r in own) - share * upto) < 6
 
 
+def test_the_schedule_makes_the_mix(docs, monkeypatch):
+    def taken():
+        rows = mixing.mix(docs, slots=4000).select("doc_id", "taken_1", "slot_1", "taken_2", "slot_2").collect()
+        return {r["doc_id"]: tuple(r)[1:] for r in rows}
+
+    own, schedule = taken(), mixing.schedule
+    # Points that run backwards, points of another step, and none at all.
+    monkeypatch.setattr(mixing, "schedule", lambda sources, slots: schedule(sources, slots).withColumn("slot", slots - 1 - F.col("slot")))
+    backwards = taken()
+    monkeypatch.setattr(mixing, "schedule", schedule)
+    monkeypatch.setattr(mixing, "GOLDEN", 1 << 20)
+    other = taken()
+    monkeypatch.setattr(mixing, "schedule", lambda sources, slots: schedule(sources, slots).limit(0))
+    none = taken()
+    monkeypatch.undo()
+    assert own == taken()
+    assert own != backwards != other != own
+    total = lambda t: sum(r[0] + r[2] for r in t.values())
+    assert total(none) < 0.1 * total(own) and total(other) < total(own)
+
+
+def test_each_stretch_of_the_mix_is_near_the_weights(docs):
+    rows = mixing.mix(docs, slots=2000).join(docs.select("doc_id", "source"), "doc_id")
+    targets = {r["source"]: r["target"] for r in rows.select("source", "target").distinct().collect()}
+    whole = sum(targets.values())
+    pieces = rows.select("source", F.explode(F.array(*(F.struct(F.col(f"taken_{k}").alias("n"), F.col(f"slot_{k}").alias("slot")) for k in (1, 2)))).alias("p")).filter("p.n > 0").select("source", "p.*").collect()
+    width = mixing.block_width(whole, 2000)
+    for upto in (400, 1000, 1600):
+        for source, target in targets.items():
+            words = sum(p["n"] for p in pieces if p["source"] == source and p["slot"] < upto)
+            # A document counts at its first slot, so the last one may reach beyond.
+            longest = max(p["n"] for p in pieces if p["source"] == source)
+            assert abs(words - target / whole * upto * width) <= 8 * width + longest
+    out = mixing.mixed(docs, slot_col="slot")
+    assert out.columns == [*docs.columns, "slot"] and out.filter("slot is null").count() == 0
+    assert out.count() == mixing.mix(docs).select(F.expr("int(taken_1 > 0) + int(taken_2 > 0)").alias("n")).agg(F.sum("n")).first()[0]
+
+
+def test_many_sources_meet_few_intervals(spark):
+    sources = spark.range(3000).select(F.col("id").cast("int").alias("nth"), F.when(F.col("id") == 0, 1e6).otherwise(F.lit(3.0)).alias("target"))
+    rows = mixing.schedule(sources, 20_000).collect()
+    assert len(rows) == 20_000 and sorted(r["slot"] for r in rows) == list(range(20_000))
+    assert abs(sum(r["nth"] == 0 for r in rows) - 20_000 * 1e6 / (1e6 + 3 * 2999)) < 6
+    assert mixing.schedule(sources.limit(0), 100).count() == 0
+
+
 def test_tiny_source_beside_a_huge_one(spark):
     # 3000 huge documents and sources of 1 to 40 words; a block has 500 words and more.
     huge = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a big source").alias("source"), F.repeat(F.lit("word "), 400).alias("text"))
