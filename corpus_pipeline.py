@@ -37,9 +37,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, once for each pass that takes words of them.
 
-    A text without words is never taken; a null source is a source; repeated rows each count.
+    Rows are in the order of the mix's slots. A text without words is never taken; a null source is a
+    source; repeated rows each count.
     """
-    return mixing.mixed(docs)
+    slot = "first_slot"
+    while slot in docs.columns:
+        slot += "_"
+    return mixing.mixed(docs, slot_col=slot).orderBy(slot, "doc_id").drop(slot)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starsift.operators.rank import prefix_sums
+from starsift.operators.rank import laid_out, meet, part_offsets, prefix_sums
 from starsift.storage import written
 
 TOP_PERCENT = (0.1, 1.0)
@@ -22,7 +22,7 @@ TOP_PERCENT = (0.1, 1.0)
 def score_table(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, score, pos, neg, tp, fp): counts at each distinct score, and of it and all higher ones."""
     counts = df.groupBy(*keys, "score").agg(F.sum("truth").cast("long").alias("pos"), F.sum(1 - F.col("truth")).cast("long").alias("neg"))
-    return prefix_sums(counts, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, keys)
+    return prefix_sums(written(counts, "scores"), [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, keys)
 
 
 def with_totals(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -71,8 +71,8 @@ def found_at(df: DataFrame, points: DataFrame, keys: Sequence[str] = (), table:
     """(keys, inspected, found): anomalies among the first ``inspected`` rows by descending score, ties by filename.
 
     ``points`` has (keys, inspected), few for each key. A score table places each point in a group of
-    equal scores; of ``df`` only the rows of groups that a point cuts, and that hold both kinds, are
-    ranked by filename.
+    equal scores. Of ``df`` only the rows of groups that a point cuts, and that hold both kinds, are put
+    in order of filenames, once; each point then sums up the rows of the part that it cuts.
     """
     keys = list(keys)
     table = score_table(df, keys) if table is None else table
@@ -91,10 +91,15 @@ def found_at(df: DataFrame, points: DataFrame, keys: Sequence[str] = (), table:
     for k in keys:
         same = same & (F.col(k) == F.col(f"cut_{k}"))
     tied = df.select(*keys, "score", "filename", "truth").join(groups, same).select(*keys, "before", "filename", "truth")
-    ranked = prefix_sums(tied, [F.asc("filename")], {"nth": F.lit(1).cast("long"), "found_in": F.col("truth").cast("long")}, [*keys, "before"])
-    needed = cuts.drop("found_in").withColumn("nth", F.col("inspected") - F.col("before"))
-    cut = needed.join(ranked.select(*keys, "before", "nth", "found_in"), [*keys, "before", "nth"])
-    return found.unionByName(cut.select(*keys, "inspected", (F.col("found_before") + F.col("found_in")).alias("found")))
+    placed, names = laid_out(tied, [F.asc("filename")], [*keys, "before"], [F.col("truth").cast("long").alias("truth")])
+    offsets = part_offsets(placed, names, {"found": F.col("truth")})
+    # The part that a point cuts, and the nth of the last row before the cut.
+    needed = cuts.select("inspected", "found_before", *(F.col(c).alias(n) for c, n in zip([*keys, "before"], names, strict=True)))
+    needed = meet(offsets.withColumnRenamed("found_before", "found_before_part"), needed, names)
+    nth = F.col("inspected") - F.col(names[-1]) - F.col("rows_before")
+    needed = needed.filter((nth > 0) & (nth <= F.col("rows"))).select("inspected", *names, "part", (F.col("found_before") + F.col("found_before_part")).alias("found"), (F.col("first") + nth - 1).alias("last"))
+    summed = meet(placed, needed, [*names, "part"]).filter("nth <= last").groupBy(*names, "inspected", "found").agg(F.sum("truth").alias("in_part"))
+    return found.unionByName(summed.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=False)), "inspected", (F.col("found") + F.col("in_part")).alias("found")))
 
 
 def _totals(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,7 +112,7 @@ def top_percent_metrics(df: DataFrame, percents: Sequence[float] = TOP_PERCENT,
     The top p percent are max(1, trunc(N * p / 100)) rows; both values are percentages, found is 0
     where there is no anomaly.
     """
-    table = written(score_table(df, keys), "scores") if table is None else table
+    table = score_table(df, keys) if table is None else table
     totals = _totals(table, keys)
     limits = {p: F.greatest(F.lit(1).cast("long"), F.floor(F.col("rows") * p / 100)) for p in percents}
     points = totals.select(*keys, F.explode(F.array_distinct(F.array(*limits.values()))).alias("inspected"))
@@ -137,7 +142,7 @@ def detection_curve(df: DataFrame, keys: Sequence[str] = (), table: DataFrame |
     Points are the rounded (half to even) distinct counts of the inspection percentages, with 0 and
     all rows. y is null where there is no anomaly, but at 0.
     """
-    table = written(score_table(df, keys), "scores") if table is None else table
+    table = score_table(df, keys) if table is None else table
     totals = _totals(table, keys)
     counts = F.array(F.col("rows"), *(F.bround(F.col("rows") * F.lit(p) / 100).cast("long") for p in inspection_percents()))
     # At most 121 points for each key.
@@ -217,7 +222,7 @@ def score_kde(df: DataFrame, points: int = 200) -> DataFrame:
 
 def evaluate(df: DataFrame, percents: Sequence[float] = TOP_PERCENT, keys: Sequence[str] = ()) -> DataFrame:
     """One row for each key of (filename, score, truth): areas, prevalence and top-percent metrics."""
-    table = written(score_table(df, keys), "scores")
+    table = score_table(df, keys)
     a = areas(df, keys, table)
     t = top_percent_metrics(df, percents, keys, table)
     out = a.join(t, list(keys)) if keys else a.join(F.broadcast(t))

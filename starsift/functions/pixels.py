@@ -116,7 +116,7 @@ def _turn(x: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def cutout(x: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
-    """A gray box of ``share`` of the width about a uniform point, cut at the rim."""
+    """A box of ``share`` of the width about a uniform point, cut at the rim; its gray is a fixed value."""
     h, w = x.shape[:2]
     half = share * w / 2
     cx, cy = rng.uniform(0, w), rng.uniform(0, h)
@@ -142,7 +142,7 @@ def apply(x: np.ndarray, name: str, v: float) -> np.ndarray:
     if name == "color":
         return _blend(np.repeat(_luma(x)[:, :, None], 3, axis=2), x, v)
     if name == "contrast":
-        return _blend(np.full(x.shape, np.floor(_luma(x).mean() + 0.5)), x, v)
+        return _blend(np.full(x.shape, np.floor(np.round(_luma(x).mean(), 6) + 0.5)), x, v)
     if name == "equalize":
         return _equalize(x)
     if name == "invert":

@@ -117,6 +117,12 @@ def union_splits(**splits: DataFrame) -> DataFrame:
     return union_runs(*(df.withColumn("split", F.lit(name)) for name, df in splits.items()))
 
 
+def overlap(splits: DataFrame, key: str = "filename", split: str = "split") -> DataFrame:
+    """One row: keys that stand in more than one split, and all keys. Splits are disjoint where the first is 0."""
+    own = splits.groupBy(key).agg((F.min(split) != F.max(split)).cast("long").alias("several"))
+    return own.agg(F.coalesce(F.sum("several"), F.lit(0)).alias("shared"), F.count("*").alias("keys"))
+
+
 def dedup_latest(pred: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in ``order``, as a whole."""
     rest = [c for c in pred.columns if c not in keys]

@@ -53,9 +53,18 @@ def latest(edits: DataFrame, order: list[str], key: str = "filename", value: str
 
 
 def upsert(base: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:
-    """(filename, label) of ``base`` overwritten by the last of ``edits``; all other rows stay."""
-    both = base.select("filename", "label", F.lit(0).alias("priority")).unionByName(latest(edits, order).withColumn("priority", F.lit(1)))
-    return both.groupBy("filename").agg(F.max_by("label", "priority").alias("label"))
+    """``base``, one row for each filename, with its label overwritten by the last of ``edits``.
+
+    All rows and columns of ``base`` stay; files that only the edits know have null in the others. A
+    filename that repeats in ``base`` has one row after.
+    """
+    rest = [c for c in base.columns if c not in ("filename", "label")]
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))) if rest else F.struct(F.lit(0).alias("c"))
+    rows = base.select("filename", "label", own.alias("own"), F.lit(0).alias("priority"))
+    both = rows.unionByName(latest(edits, order).withColumn("priority", F.lit(1)), allowMissingColumns=True)
+    kept = both.groupBy("filename").agg(F.max_by("label", "priority").alias("label"), F.max_by("own", F.when(F.col("own").isNotNull(), F.hash("label"))).alias("own"))
+    columns = {"filename": F.col("filename"), "label": F.col("label")} | {c: F.col(f"own.c{k}") for k, c in enumerate(rest)}
+    return kept.select(*(columns[c].alias(c) for c in base.columns))
 
 
 def changes(base: DataFrame, edits: DataFrame, order: list[str]) -> DataFrame:

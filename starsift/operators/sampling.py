@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starsift.operators.rank import global_rank, stable_order, top_k_per_class
+from starsift.operators.rank import global_rank, ranked_between, stable_order, top_k_per_class
 
 
 def split_quotas(labels: DataFrame, ratio: float, label: str = "label") -> DataFrame:
@@ -34,9 +34,11 @@ def stratified_split(labels: DataFrame, ratio: float, seed: int = 42, label: str
     checks = split_quotas(labels, ratio, label).agg(F.min("rows").alias("least"), F.sum("test_rows").alias("test"), F.count("*").alias("classes")).first()
     if checks["classes"] > 1 and (checks["least"] < 2 or checks["test"] < checks["classes"]):
         raise ValueError("too few rows for a stratified split")
-    ranked = global_rank(labels.withColumn("order_key", stable_order(seed)), [F.asc("order_key"), F.asc("filename")], [label])
-    met = ranked.join(split_quotas(labels, ratio, label).select(label, "test_rows"), label)
-    return met.withColumn("split", F.when(F.col("rank") <= F.col("test_rows"), "test").otherwise("train")).select(*labels.columns, "split")
+    own = labels.select(F.struct(*[F.col(f"`{c}`") for c in labels.columns]).alias("own"), F.col(label).alias("cls"), "filename", stable_order(seed).alias("place"))
+    ranked = global_rank(own, [F.asc("place"), F.asc("filename")], ["cls"])
+    quotas = split_quotas(labels, ratio, label).select(F.col(label).alias("of"), "test_rows")
+    split = F.when(F.col("rank") <= F.col("test_rows"), "test").otherwise("train").alias("split")
+    return ranked.join(quotas, F.col("cls").eqNullSafe(F.col("of"))).select(*(F.col(f"own.`{c}`") for c in labels.columns if c != "split"), split)
 
 
 def initial_labels(truth: DataFrame, cls: int, n: int, ratio: float, seed: int = 42, label: str = "label_idx") -> DataFrame:
@@ -49,13 +51,16 @@ def initial_labels(truth: DataFrame, cls: int, n: int, ratio: float, seed: int =
 
 
 def sample_per_class(df: DataFrame, k: int, seed: int = 42, label: str = "label_idx", pad: bool = False) -> DataFrame:
-    """``df``'s k first rows of each class in the seeded order, with nth; with ``pad`` the last row repeats up to k."""
-    rows = top_k_per_class(df.withColumn("order_key", stable_order(seed)), k, label, [F.asc("order_key"), F.asc("filename")]).drop("order_key")
+    """``df``'s k first rows of each class in the seeded order, with nth (in place of a column of that name); with ``pad`` the last row repeats up to k."""
+    columns = [c for c in df.columns if c != "nth"]
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), F.col(label).alias("cls"), "filename", stable_order(seed).alias("place"))
+    rows = top_k_per_class(own, k, "cls", [F.asc("place"), F.asc("filename")])
+    out = [F.col(f"own.`{c}`") for c in columns]
     if not pad:
-        return rows
-    last = rows.groupBy(label).agg(F.max("nth").alias("last"))
+        return rows.select(*out, "nth")
+    last = rows.groupBy("cls").agg(F.max("nth").alias("last")).withColumnRenamed("cls", "of")
     times = F.when(F.col("nth") == F.col("last"), F.sequence(F.col("nth"), F.lit(k))).otherwise(F.array("nth"))
-    return rows.join(F.broadcast(last), label).withColumn("nth", F.explode(times)).select(*df.columns, "nth")
+    return rows.join(last, F.col("cls").eqNullSafe(F.col("of"))).withColumn("nth", F.explode(times)).select(*out, "nth")
 
 
 def class_weights(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -64,10 +69,11 @@ def class_weights(labels: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("weight", F.when(F.count("*").over(Window.partitionBy()) > 1, 1.0 / F.col("rows")).otherwise(F.lit(1.0)))
 
 
-def _draws(df: DataFrame, n: int, seed: int):
-    spark = df.sparkSession
-    unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40))
-    return spark.range(n).withColumns({"u": unit(1), "v": unit(2)})
+def _draws(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """(id, u, v): for each draw two numbers of [0, 1), from MD5 of seed and draw, as any engine can repeat them."""
+    digest = lambda k: F.md5(F.concat(F.lit(f"{seed}|{k}|"), F.col("id").cast("string")))
+    unit = lambda k: F.conv(F.substring(digest(k), 1, 10), 16, 10).cast("long") / float(1 << 40)
+    return df.sparkSession.range(n).withColumns({"u": unit(1), "v": unit(2)})
 
 
 def weighted_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label") -> DataFrame:
@@ -75,29 +81,34 @@ def weighted_sample(df: DataFrame, n: int, seed: int = 42, label: str = "label")
 
     A draw names a class and a position in it; rows are joined by position.
     """
-    indexed = global_rank(df, [F.asc("filename")], [label], "position")
-    classes = df.groupBy(label).agg(F.count("*").alias("rows"))
-    number = classes.withColumn("cls", F.row_number().over(Window.orderBy(label)) - 1)
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.col(label).alias("cls"), "filename")
+    indexed = global_rank(own, [F.asc("filename")], ["cls"], "position")
+    classes = df.groupBy(F.col(label).alias("of")).agg(F.count("*").alias("rows"))
+    number = classes.withColumn("number", F.row_number().over(Window.orderBy("of")) - 1)
     k = classes.count()
-    draws = _draws(df, n, seed).withColumn("cls", F.floor(F.col("u") * k).cast("int")).join(F.broadcast(number), "cls")
-    draws = draws.withColumn("position", F.floor(F.col("v") * F.col("rows")) + 1).select(F.col("id").alias("draw"), label, "position")
-    return draws.join(indexed, [label, "position"]).select("draw", *df.columns)
+    draws = _draws(df, n, seed).withColumn("number", F.floor(F.col("u") * k).cast("int")).join(number, "number")
+    draws = draws.select(F.col("id").alias("draw"), "of", (F.floor(F.col("v") * F.col("rows")) + 1).alias("at"))
+    met = draws.join(indexed, F.col("of").eqNullSafe(F.col("cls")) & (F.col("at") == F.col("position")))
+    return met.select("draw", *(F.col(f"own.`{c}`") for c in df.columns))
 
 
 def uniform_sample(df: DataFrame, n: int, replacement: bool = True, seed: int = 42) -> DataFrame:
     """n draws, with draw from 0; without replacement the first n rows of the seeded order (at most all)."""
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), "filename")
+    out = [F.col(f"own.`{c}`") for c in df.columns]
     if not replacement:
-        ranked = global_rank(df.withColumn("order_key", stable_order(seed)), [F.asc("order_key"), F.asc("filename")])
-        return ranked.filter(F.col("rank") <= n).select((F.col("rank") - 1).alias("draw"), *df.columns)
-    indexed = global_rank(df, [F.asc("filename")], name="position")
+        return ranked_between(own, seed, 0, n)[0].select((F.col("rank") - 1).alias("draw"), *out)
+    indexed = global_rank(own, [F.asc("filename")], name="position")
     rows = df.count()
     draws = _draws(df, n if rows else 0, seed).select(F.col("id").alias("draw"), (F.floor(F.col("v") * rows) + 1).alias("position"))
-    return draws.join(indexed, "position").select("draw", *df.columns)
+    return draws.join(indexed, "position").select("draw", *out)
 
 
 def batches(df: DataFrame, size: int, drop_last: bool = True) -> DataFrame:
-    """``df`` with batch from 0 in the order of filenames; an incomplete last batch is dropped by default."""
-    ranked = global_rank(df, [F.asc("filename")]).withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank")
+    """``df`` with batch from 0 in the order of filenames (in place of a column of that name); an incomplete last batch is dropped by default."""
+    columns = [c for c in df.columns if c != "batch"]
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), "filename")
+    ranked = global_rank(own, [F.asc("filename")]).select(*(F.col(f"own.`{c}`") for c in columns), F.floor((F.col("rank") - 1) / size).alias("batch"))
     if drop_last:
         ranked = ranked.filter(F.col("batch") < df.count() // size)
     return ranked

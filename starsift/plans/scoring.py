@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starsift.functions.vector import dot
 from starsift.operators.rank import top_n
+from starsift.sources.images import store_predictions
 from starsift.storage import written
 
 
@@ -46,19 +47,25 @@ def score_with(df: DataFrame, predict: Callable[[pd.DataFrame], Sequence[float]]
     return df.withColumn("score", scored(F.struct(*columns)))
 
 
-def search(source: DataFrame, scored: Callable[[DataFrame], DataFrame], n: int = 1000, store: str | None = None, payload: Sequence[str] = ()) -> DataFrame:
+def search(source: DataFrame, scored: Callable[[DataFrame], DataFrame], n: int = 1000, store: str | None = None, payload: Sequence[str] = (), run: str | None = None) -> DataFrame:
     """The n highest scores over all containers of ``source``.
 
-    Payload columns stay out of the sort: the winners (n rows) fetch theirs by filename and source.
-    With ``store`` all predictions are added to that table. They are scored once: written to a folder
-    of the run, and from there added to the table and ranked.
+    Payload columns stay out of the sort: the n winners fetch theirs by filename and source, each row
+    once. With ``store`` all predictions go to that store in place of earlier ones of the same sources
+    (:func:`starsift.sources.images.store_predictions`); they are scored once, written to a folder of the
+    run, and from there stored and ranked.
     """
     pred = scored(source)
     narrow = pred.select("filename", "source", "score")
     if store:
         narrow = written(narrow, "predictions")
-        narrow.write.mode("append").parquet(store)
+        store_predictions(narrow, store, run)
     best = top_n(narrow, n)
     if not payload:
         return best
-    return source.select("filename", "source", *payload).join(F.broadcast(best), ["filename", "source"])
+    # Where (filename, source) repeats, the k-th of its winners by score gets the k-th of its rows.
+    same, place = Window.partitionBy("filename", "source"), "place"
+    won = best.withColumn(place, F.row_number().over(same.orderBy(F.desc("score"))))
+    names = won.select("filename", "source").distinct()  # at most n
+    rows = scored(source.join(F.broadcast(names), ["filename", "source"])).withColumn(place, F.row_number().over(same.orderBy(F.desc("score"))))
+    return rows.select("filename", "source", place, *payload).join(F.broadcast(won), ["filename", "source", place]).select("filename", "source", *payload, "score")

@@ -88,11 +88,11 @@ def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM = "s AS (SELECT event_id::VARCHAR AS filename, user_id::VARCHAR AS user_name, least(value / 500, 1.0)::DOUBLE AS score, event_type AS source, ts FROM events)"
 
 
-def as_stream(df: DataFrame, files: int = 4) -> DataFrame:
-    """``df`` as a stream of files in the order of ts, one a batch."""
+def as_stream(df: DataFrame, files: int = 4, per_batch: int = 1) -> DataFrame:
+    """``df`` as a stream of files by ranges of ts, ``per_batch`` a batch; which comes first isn't sure."""
     rows = written(df.repartitionByRange(files, "ts").sortWithinPartitions("ts"), "stream")
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    return df.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return df.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def history(spark: SparkSession, sf_dir: str, classes: range = range(10)) -> DataFrame:

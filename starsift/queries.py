@@ -323,9 +323,10 @@ BASE = P.LABEL_EVENTS + """, base AS (SELECT filename, arg_max(label, (ts, event
 ed AS (SELECT filename, arg_max(label, (ts, event_id)) AS label FROM e WHERE event_id % 2 = 1 GROUP BY filename), up AS (SELECT coalesce(ed.filename, base.filename) AS filename, coalesce(ed.label, base.label) AS label FROM base FULL JOIN ed USING (filename))"""
 
 
-@query(f"WITH {BASE} SELECT * FROM up")
+@query(f"WITH {BASE} SELECT up.filename, up.label, 'of ' || base.filename AS note FROM up LEFT JOIN base ON base.filename = up.filename")
 def label_upsert(spark, d):
-    return L.upsert(*_base(spark, d), ["ts", "event_id"])
+    base, edits = _base(spark, d)
+    return L.upsert(base.withColumn("note", F.concat(F.lit("of "), F.col("filename"))), edits, ["ts", "event_id"])
 
 
 @query(f"WITH {BASE} SELECT coalesce(sum((base.label <> ed.label)::INT), 0)::BIGINT AS changed, coalesce(sum((base.label IS NULL)::INT), 0)::BIGINT AS added FROM ed LEFT JOIN base USING (filename)")
@@ -414,23 +415,42 @@ def split_sizes(spark, d):
     return _split(spark, d).groupBy("label", "split").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT 0::BIGINT AS shared, count(*) AS rows FROM embeddings")
+def _split_sql(name: str, seed: int) -> str:
+    """The files of a split by the quotas, in SQL."""
+    return f"{name} AS (SELECT filename, CASE WHEN nth <= test_rows THEN 'test' ELSE 'train' END || '-{seed}' AS split FROM (SELECT filename, label_idx AS label, row_number() OVER (PARTITION BY label_idx ORDER BY md5('{seed}|' || filename), filename) AS nth FROM v) JOIN qt USING (label))"
+
+
+def _split_of(spark, d, seed: int) -> DataFrame:
+    rows = P.vectors(spark, d).select("filename", F.col("label_idx").alias("label"))
+    return S.stratified_split(rows, 0.2, seed).select("filename", F.concat("split", F.lit(f"-{seed}")).alias("split"))
+
+
+@query(f"""WITH {P.VECTORS}, {QUOTAS}, {_split_sql("a", 42)}, {_split_sql("b", 7)}, every AS (SELECT 'one' AS pair, * FROM a UNION ALL SELECT 'two', * FROM a WHERE split LIKE 'test%' UNION ALL SELECT 'two', * FROM b WHERE split LIKE 'test%')
+SELECT pair, count(*) FILTER (n > 1) AS shared, count(*) AS keys FROM (SELECT pair, filename, count(DISTINCT split) AS n FROM every GROUP BY pair, filename) GROUP BY pair""")
 def split_disjoint(spark, d):
-    s = written(_split(spark, d), "split")
-    shared = s.filter("split = 'train'").select("filename").intersect(s.filter("split = 'test'").select("filename")).agg(F.count("*").alias("shared"))
-    return shared.join(F.broadcast(s.agg(F.count("*").alias("rows"))))
+    a, b = written(_split_of(spark, d, 42), "split"), _split_of(spark, d, 7)
+    tests = a.filter("split like 'test%'").unionByName(b.filter("split like 'test%'"))  # of two seeds, which share some
+    return A.overlap(a).withColumn("pair", F.lit("one")).unionByName(A.overlap(tests).withColumn("pair", F.lit("two")))
 
 
-@query()
+def _draw_sql(k: int) -> str:
+    return f"(('0x' || substr(md5('42|{k}|' || id), 1, 10))::BIGINT / {1 << 40}::DOUBLE)"
+
+
+@query(f"""WITH {P.VECTORS}, x AS (SELECT filename, label_idx AS label, row_number() OVER (PARTITION BY label_idx ORDER BY filename) AS position FROM v),
+c AS (SELECT label, count(*) AS rows, row_number() OVER (ORDER BY label) - 1 AS number FROM x GROUP BY label), k AS (SELECT count(*) AS k FROM c),
+d AS (SELECT id, floor({_draw_sql(1)} * k)::BIGINT AS number, {_draw_sql(2)} AS v FROM range((SELECT count(*) FROM v)) r(id), k)
+SELECT id AS draw, filename, label FROM d JOIN c USING (number) JOIN x USING (label) WHERE position = floor(d.v * rows)::BIGINT + 1""")
 def weighted_sample(spark, d):
     v = P.vectors(spark, d).select("filename", F.col("label_idx").alias("label"))
     return S.weighted_sample(v, v.count())
 
 
-@query()
+@query(f"""WITH {P.VECTORS}, x AS (SELECT filename, row_number() OVER (ORDER BY filename) AS position, row_number() OVER (ORDER BY md5('42|' || filename), filename) - 1 AS place, count(*) OVER () AS rows FROM v)
+SELECT 'with' AS kind, id AS draw, filename FROM range((SELECT count(*) FROM v)) r(id) JOIN x ON position = floor({_draw_sql(2)} * rows)::BIGINT + 1 UNION ALL SELECT 'without', place, filename FROM x WHERE place < 100""")
 def uniform_sample(spark, d):
     v = P.vectors(spark, d).select("filename")
-    return S.uniform_sample(v, v.count())
+    return S.uniform_sample(v, v.count()).withColumn("kind", F.lit("with")).unionByName(S.uniform_sample(v, 100, replacement=False).withColumn("kind", F.lit("without")))
 
 
 # --- metrics and curves ----------------------------------------------------------------------------------------------
@@ -732,6 +752,22 @@ def img_adjust_bytes(spark, d):
     return out.select("filename", F.array_join(values, ",").alias("px"))
 
 
+def _blend_sql(gray: str) -> str:
+    """0.6 of the values and 0.4 of ``gray``, in whole numbers as bytes."""
+    return f"list_transform(px, lambda x: floor(greatest(0, least(255, {gray} + 0.6::DOUBLE * (x - {gray}) + 0.5)))::INT)"
+
+
+@query(f"""WITH {P.PIXELS}, m AS (SELECT *, floor(list_avg(px) + 0.5) AS mean FROM g)
+SELECT filename, 'brightness' AS kind, array_to_string({_blend_sql("0.0::DOUBLE")}, ',') AS px FROM g UNION ALL SELECT filename, 'contrast', array_to_string({_blend_sql("mean")}, ',') FROM m""")
+def img_blend_bytes(spark, d):
+    rows, out = _rgb_bytes(spark, d), None
+    for kind in ("brightness", "contrast"):
+        gray = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(F.hex("pixels"), i * 6 + 1, F.lit(2)), 16, 10))  # all channels are equal
+        own = X.adjust_images(rows, 8, **{kind: 0.6}).select("filename", F.lit(kind).alias("kind"), F.array_join(gray, ",").alias("px"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("SELECT page_id, 'page_' || page_id || '.html' AS filename, octet_length(encode(html)) AS n FROM pages")
 def blob_table(spark, d):
     path = new_path(spark, "blobs")
@@ -757,6 +793,98 @@ def file_list(spark, d):
     return I.read_file_list(spark, path).select(F.element_at(F.split("path", "/"), -1).cast("long").alias("page_id"), "path")
 
 
+def _page_files(spark, d) -> DataFrame:
+    return P.table(spark, d, "pages").select(F.format_string("page_%d.png", "page_id").alias("filename"), F.col("html").cast("binary").alias("content"))
+
+
+@query("SELECT 'page_' || page_id || '.png' AS filename, md5(html) AS digest FROM pages WHERE page_id % 3 < 2")
+def listed_files(spark, d):
+    folder, path = new_path(spark, "files"), new_path(spark, "list")
+    rows = _page_files(spark, d)
+    nth = F.regexp_extract("filename", r"\d+", 0).cast("long")
+    I.write_files(rows.filter(nth % 3 < 2), folder)
+    # Every page is listed; a third of them has no file.
+    rows.select(F.concat(F.lit(f" {folder}/"), F.col("filename"), F.lit(" "))).write.text(path)
+    return I.read_listed_files(spark, path, size=1 << 18).select("filename", F.md5("content").alias("digest"))
+
+
+#: Pages of an archive in zip_images.
+ZIPPED = 100
+
+
+@query(f"SELECT 'pages_' || (page_id // {ZIPPED}) || '.zip' AS source, 'in/page_' || page_id || '.PNG' AS filename, md5(html) AS digest FROM pages WHERE page_id % 5 > 0")
+def zip_images(spark, d):
+    import zipfile
+    from io import BytesIO
+
+    import pandas as pd
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        data = BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for page, content in zip(rows["page_id"], rows["content"], strict=True):
+                z.writestr(f"in/page_{page}.{'PNG' if page % 5 else 'txt'}", content)
+        return pd.DataFrame({"filename": [f"pages_{rows['page_id'].iloc[0] // ZIPPED}.zip"], "content": [data.getvalue()]})
+
+    folder = new_path(spark, "archives")
+    pages = P.table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    I.write_files(pages.groupBy(F.floor(F.col("page_id") / ZIPPED)).applyInPandas(packed, "filename string, content binary"), folder)
+    return I.read_zip_images(spark, folder, size=1 << 16).select(F.element_at(F.split("source", "/"), -1).alias("source"), "filename", F.md5("content").alias("digest"))
+
+
+RGB_SQL = f"WITH {P.PIXELS} SELECT filename, array_to_string(list_transform(range(0, 192), lambda i: px[i // 3 + 1]), ',') AS px FROM g"
+
+
+def _png_files(spark, d) -> str:
+    """A folder of the gray images as PNG files, and one file that isn't an image."""
+    import pandas as pd
+
+    def encoded(batches):
+        for batch in batches:
+            yield pd.DataFrame({"filename": batch["filename"].str.replace(".jpeg", ".png"), "content": [I.png(bytes(x), 8) for x in batch["pixels"]]})
+
+    folder = new_path(spark, "images")
+    I.write_files(_rgb_bytes(spark, d).mapInPandas(encoded, "filename string, content binary"), folder)
+    I.write_files(spark.createDataFrame([("bad.png", bytearray(b"no image"))], "filename string, content binary"), folder)
+    return folder
+
+
+def _values(pixels: str) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.conv(F.substring(F.hex(pixels), i * 2 + 1, F.lit(2)), 16, 10)), ",")
+
+
+@query(RGB_SQL)
+def decoded_images(spark, d):
+    found = I.decode_images(I.read_images(spark, _png_files(spark, d)), 8)
+    return found.select(F.replace("filename", F.lit(".png"), F.lit(".jpeg")).alias("filename"), _values("pixels").alias("px"))
+
+
+@query(f"WITH {P.PIXELS} SELECT filename, array_to_string(list_transform(range(0, 48), lambda i: floor((px[(i // 12) * 16 + ((i % 12) // 3) * 2 + 1] + px[(i // 12) * 16 + ((i % 12) // 3) * 2 + 2] + px[(i // 12) * 16 + ((i % 12) // 3) * 2 + 9] + px[(i // 12) * 16 + ((i % 12) // 3) * 2 + 10]) / 4.0 + 0.5)::INT), ',') AS px FROM g")
+def resized_images(spark, d):
+    blobs, folder = new_path(spark, "blobs"), new_path(spark, "resized")
+    I.write_files(I.resize_and_write(I.read_images(spark, _png_files(spark, d)), 4, blobs), folder)
+    found = I.decode_images(I.read_images(spark, folder), 4)
+    return found.select(F.replace("filename", F.lit(".png"), F.lit(".jpeg")).alias("filename"), F.regexp_extract(_values("pixels"), r"^\d+(?:,\d+){47}", 0).alias("px"))
+
+
+@query("SELECT label AS run, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean FROM embeddings GROUP BY label")
+def summaries(spark, d):
+    root = new_path(spark, "runs")
+    own = P.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean"))
+    text = F.concat(F.lit("n,mean\n"), F.col("n").cast("string"), F.lit(","), F.format_string("%.6f", "mean"), F.lit("\n"))
+    I.write_files(own.select(F.format_string("run_%d/results_summary.csv", "label").alias("filename"), text.cast("binary").alias("content")), root)
+    return I.read_summaries(spark, root).select(F.regexp_extract("run_dir", r"\d+$", 0).cast("int").alias("run"), F.col("n").cast("long").alias("n"), "mean")
+
+
+@query(f"WITH {P.STREAM} SELECT filename, source, round(CASE WHEN source IN ('click', 'error') THEN 1 - score ELSE score END, 6) AS score FROM s")
+def rescored_store(spark, d):
+    pred, store = P.stream_rows(spark, d).select("filename", "source", "score"), new_path(spark, "store")
+    again = pred.filter("source in ('click', 'error')")
+    I.store_predictions(pred, store, "first")
+    I.store_predictions(again.withColumn("score", F.lit(0.0)), store, "second")
+    return I.store_predictions(again.withColumn("score", 1 - F.col("score")), store, "third").select("filename", "source", r6("score"))
+
+
 @query(f"WITH {P.SCORES} SELECT filename, round(score, 6) AS score FROM p")
 def append_predictions(spark, d):
     path, pred = new_path(spark, "store"), P.scores(spark, d).select("vec_id", "filename", "score")
@@ -836,6 +964,8 @@ def active_learning_round(spark, d):
     return done.metrics.join(F.broadcast(done.state.labels.agg(F.count("*").alias("labels"))))
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -856,6 +986,14 @@ def tumbling_rate(spark, d):
     return spark.read.parquet(store).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "rows", r6("rate"))
 
 
+@query(f"WITH {P.STREAM} SELECT filename, round(1 - score, 6) AS score FROM s")
+def stream_predictions(spark, d):
+    store = new_path(spark, "predictions")
+    stream = P.as_stream(P.stream_rows(spark, d)).select("filename", "score")
+    T.stream_search(stream, lambda batch: batch.withColumn("score", 1 - F.col("score")), store, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(store).select("filename", r6("score"))
+
+
 @query(f"WITH {P.STREAM} SELECT DISTINCT user_name AS filename FROM s")
 def stream_dedup(spark, d):
     rows = P.as_stream(P.stream_rows(spark, d).select(F.col("user").alias("filename"), "ts"))
@@ -867,17 +1005,39 @@ def stream_dedup(spark, d):
 @query(f"WITH {P.LABEL_EVENTS} SELECT filename, arg_max(label, (ts, event_id)) AS label FROM e GROUP BY filename")
 def stream_labels(spark, d):
     store = new_path(spark, "labels")
-    T.stream_labels(P.as_stream(P.label_events(spark, d)), ["ts", "event_id"], store, new_path(spark, "progress")).awaitTermination()
-    return T.newest_state(spark, store).select("filename", "label")
-
-
-@query()
+    T.stream_labels(P.as_stream(P.label_events(spark, d)), ["ts", "event_id"], store, new_path(spark, "progress"), compact=3).awaitTermination()
+    return T.label_state(spark, store, ["ts", "event_id"]).select("filename", "label")
+
+
+#: Of stream_rate_state: rows and seconds of a report, and the seconds that rows may be late.
+RATE_COUNT, RATE_SECONDS, RATE_LATE = 50, 3600, 600
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT source, floor(epoch(ts))::BIGINT AS t, count(*) AS n FROM (SELECT event_type AS source, ts FROM events) GROUP BY 1, 2),
+wm AS (SELECT max(epoch_ms(ts)) / 1000.0 - {RATE_LATE} AS w FROM events),
+o AS (SELECT source, t, n, row_number() OVER (PARTITION BY source ORDER BY t) AS k FROM u, wm WHERE t + 1 <= w),
+walk AS (SELECT source, 0::BIGINT AS k, 0::HUGEINT AS held, 0::BIGINT AS start, 0::HUGEINT AS total, 0::BIGINT AS late_start, 0::HUGEINT AS late_rows, 0::HUGEINT AS full_rows, 0::BIGINT AS full_seconds, 0::BIGINT AS full_start FROM (SELECT DISTINCT source FROM o)
+ UNION ALL SELECT source, k, CASE WHEN now_held + n >= {RATE_COUNT} THEN 0 ELSE now_held + n END, now_start, total + n, CASE WHEN expired THEN start ELSE 0 END, CASE WHEN expired THEN held ELSE 0 END,
+ CASE WHEN now_held + n >= {RATE_COUNT} THEN now_held + n ELSE 0 END, t + 1 - now_start, now_start
+ FROM (SELECT *, CASE WHEN expired THEN 0 ELSE held END AS now_held, CASE WHEN expired OR held = 0 THEN t ELSE start END AS now_start
+  FROM (SELECT walk.source, o.k, o.t, o.n, walk.held, walk.start, walk.total, walk.held > 0 AND o.t - walk.start >= {RATE_SECONDS} AS expired FROM walk JOIN o ON o.source = walk.source AND o.k = walk.k + 1))),
+ended AS (SELECT source, held, start, total FROM walk, wm WHERE k = (SELECT max(k) FROM o WHERE o.source = walk.source) AND held > 0 AND start + {RATE_SECONDS} <= w)
+SELECT source, start, rows::BIGINT AS rows, seconds, total::BIGINT AS total FROM (
+ SELECT source, late_start AS start, late_rows AS rows, {RATE_SECONDS}::BIGINT AS seconds, total - (SELECT n FROM o WHERE o.source = walk.source AND o.k = walk.k) AS total FROM walk WHERE late_rows > 0
+ UNION ALL SELECT source, full_start, full_rows, full_seconds, total FROM walk WHERE full_rows > 0
+ UNION ALL SELECT source, start, held, {RATE_SECONDS}, total FROM ended)""")
 def stream_rate_state(spark, d):
-    rows = P.as_stream(P.stream_rows(spark, d))
-    store = new_path(spark, "rate_state")
-    made = T.rate_by_count_or_time(rows, "source", count=50, seconds=3600)
-    made.writeStream.format("parquet").outputMode("append").option("path", store).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("source string, rows long, seconds double, total long").parquet(store)
+    # One batch: files may come in any order, and rows that a later one makes late are dropped.
+    rows, before = P.as_stream(P.stream_rows(spark, d), per_batch=1000), spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        store = new_path(spark, "rate_state")
+        made = T.rate_by_count_or_time(rows, "source", RATE_COUNT, RATE_SECONDS, watermark=f"{RATE_LATE} seconds")
+        made.writeStream.format("parquet").outputMode("append").option("path", store).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    found = spark.read.schema("source string, start timestamp, rows long, seconds long, total long").parquet(store)
+    return found.withColumn("start", F.unix_seconds("start"))
 
 
 def queries() -> dict[str, Query]:

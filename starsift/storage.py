@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that this process wrote for intermediate tables and hasn't removed, oldest first.
-_paths: list[str] = []
+#: The run whose tables are written now, if any: a list of their paths. Threads and tasks have their own.
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    _paths.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _paths[-1]
+    """A path in the shared folder that no other run uses; a run within :func:`scratch` takes it away at its end."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (paths := _run.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
@@ -48,31 +52,57 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """(Hadoop's path, its file system), whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
-    """Delete folders of the shared file system, whatever it is."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    """Delete folders of the shared file system."""
     for path in paths:
-        where = hadoop.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        where, system = _files(spark, path)
+        system.delete(where, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, which says that something is complete."""
+    where, system = _files(spark, path)
+    system.create(where, True).close()
+
+
+def folders(spark: SparkSession, path: str, name: str) -> list[tuple[int, str]]:
+    """(number, path) of what stands in a folder as name=<number>, or as plain name with the number 0."""
+    where, system = _files(spark, path)
+    if not system.exists(where):
+        return []
+    found = [str(status.getPath().toString()) for status in system.listStatus(where)]
+    named = [(re.fullmatch(rf"{re.escape(name)}(?:=(\d+))?", f.rsplit("/", 1)[1]), f) for f in found]
+    return sorted((int(m[1] or 0), f) for m, f in named if m)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Removes the intermediate tables that are written within it, but for those written by what it gives.
+    """A run: the intermediate tables that are written within it, by this thread, go at its end; what is kept stays.
 
     with scratch(spark) as keep:
         result = keep(work(docs), "result")  # the tables that ``work`` wrote go at the end
+
+    Runs may be nested or go on at once in several threads: each has its own tables only, and what an
+    inner run keeps is the outer run's.
     """
-    began, kept = len(_paths), []
+    outer, own, kept = _run.get(), [], []
+    token = _run.set(own)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = written(df, name)
-        kept.append(_paths[-1])
+        kept.append(own[-1])
         return out
 
     try:
         yield keep
     finally:
-        gone = [p for p in _paths[began:] if p not in kept]
-        removed(spark, gone)
-        _paths[began:] = kept
+        _run.reset(token)
+        if outer is not None:
+            outer += kept
+        removed(spark, [path for path in own if path not in kept])

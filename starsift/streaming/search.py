@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from starsift.operators.labels import latest
 from starsift.operators.rank import top_n
+from starsift.storage import folders, mark, removed
 
 
 def _start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -33,13 +34,16 @@ def stream_search(source: DataFrame, scored: Callable[[DataFrame], DataFrame], s
 def stream_top_n(pred: DataFrame, n: int, store: str, checkpoint: str) -> StreamingQuery:
     """The running n highest of (filename, score, ...) under ``store``: of the last state and the batch only.
 
-    A state that is gone stops the stream: winners of earlier batches would be lost without a word.
+    A state that is gone stops the stream: winners of earlier batches would be lost without a word. The
+    last state and the one before, from which a batch may run again, are kept.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{store}/state={batch_id - 1}") if batch_id else None
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{store}/state={batch_id - 1}") if batch_id else None
         rows = batch if before is None else batch.unionByName(before.select(batch.columns))
         top_n(rows, n).write.mode("overwrite").parquet(f"{store}/state={batch_id}")
+        removed(spark, [path for k, path in folders(spark, store, "state") if k < batch_id - 1])
 
     return _start(pred, checkpoint, write)
 
@@ -51,19 +55,49 @@ def newest_state(spark: SparkSession, store: str) -> DataFrame:
     return rows.filter(F.col("state") == last).drop("state")
 
 
-def stream_labels(edits: DataFrame, order: list[str], store: str, checkpoint: str, key: str = "filename") -> StreamingQuery:
-    """The last label of each key, by ``order`` columns, as a running state under ``store``."""
+def stream_labels(edits: DataFrame, order: list[str], store: str, checkpoint: str, key: str = "filename", compact: int = 16) -> StreamingQuery:
+    """The last label of each key, by ``order`` columns, under ``store``: a base and what the batches since then changed.
+
+    A batch writes its own last labels only, as ``delta=<batch>``. Every ``compact`` batches the base and
+    the deltas become a new base, ``base=<batch>``; then those it holds are removed. A batch that runs
+    again writes its delta again, and a base that is there stays as it is.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{store}/state={batch_id - 1}") if batch_id else None
-        own = [key, "label", *order]
-        rows = batch.select(own) if before is None else batch.select(own).unionByName(before.select(own))
-        rest = F.struct("label", *order)
-        rows.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("last")).select(key, "last.*").write.mode("overwrite").parquet(f"{store}/state={batch_id}")
+        spark = batch.sparkSession
+        last_edits(batch, order, key).write.mode("overwrite").parquet(f"{store}/delta={batch_id}")
+        mark(spark, f"{store}/delta_done={batch_id}")
+        if (batch_id + 1) % compact:
+            return
+        if batch_id not in {k for k, _ in _complete(spark, store, "base")}:
+            label_state(spark, store, order, key, batch_id).write.mode("overwrite").parquet(f"{store}/base={batch_id}")
+            mark(spark, f"{store}/base_done={batch_id}")
+        for name, last in (("base_done", batch_id - 1), ("base", batch_id - 1), ("delta_done", batch_id), ("delta", batch_id)):
+            removed(spark, [path for k, path in folders(spark, store, name) if k <= last])
 
     return _start(edits, checkpoint, write)
 
 
+def last_edits(edits: DataFrame, order: list[str], key: str = "filename") -> DataFrame:
+    """(key, label, order columns) of the last edit of each key."""
+    rest = F.struct("label", *order)
+    return edits.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("last")).select(key, "last.*")
+
+
+def _complete(spark: SparkSession, store: str, name: str) -> list[tuple[int, str]]:
+    """The folders name=<number> whose writer came to its end."""
+    done = {k for k, _ in folders(spark, store, f"{name}_done")}
+    return [(k, path) for k, path in folders(spark, store, name) if k in done]
+
+
+def label_state(spark: SparkSession, store: str, order: list[str], key: str = "filename", upto: int | None = None) -> DataFrame:
+    """The last label of each key that :func:`stream_labels` knows, up to a batch: the newest base and the deltas after it."""
+    bases = [(k, path) for k, path in _complete(spark, store, "base") if upto is None or k <= upto]
+    since, base = max(bases, default=(-1, None))
+    deltas = [path for k, path in _complete(spark, store, "delta") if k > since and (upto is None or k <= upto)]
+    return last_edits(spark.read.parquet(*([base] if base else []), *deltas), order, key)
+
+
 def tumbling_rate(rows: DataFrame, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
     """(start, rows, rate) of a stream or table with a timestamp ts, in windows of ``seconds``."""
     if rows.isStreaming:
@@ -77,28 +111,68 @@ def stream_dedup(rows: DataFrame, key: str = "filename", watermark: str = "10 mi
     return rows.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def rate_by_count_or_time(rows: DataFrame, key: str, count: int = 10_000, seconds: int = 60) -> DataFrame:
-    """(key, rows, seconds, total): reported whenever ``count`` rows have come or ``seconds`` have passed.
+class _Rates(StatefulProcessor):
+    """Adds up the counts of closed units of a key, and reports them by count or by time."""
 
-    Time is the stream's own (ts); what is left at the end stays in the state.
-    """
-    kind = dict(rows.dtypes)[key]
+    def __init__(self, key: str, count: int, seconds: int, unit: int) -> None:
+        self.key, self.count, self.seconds, self.unit = key, count, seconds, unit
 
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, start, total = state.get if state.exists else (0, None, 0)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "rows long, start long, total long")
+
+    def _report(self, key: tuple, start: int, rows: int, seconds: int, total: int) -> tuple:
+        return (*key, pd.Timestamp(start, unit="s"), rows, seconds, total)
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[self.key, "start", "rows", "seconds", "total"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held, start, total = self.held.get() if self.held.exists() else (0, 0, 0)
         out = []
-        for batch in batches:
-            for at in batch["ts"].astype("datetime64[ns]").astype("int64").sort_values() / 1e9:
-                start = at if start is None else start
-                held, total = held + 1, total + 1
-                if held >= count or at - start >= seconds:
-                    out.append((*name, held, at - start, total))
-                    held, start = 0, at
-        state.update((held, start, total))
-        yield pd.DataFrame(out, columns=[key, "rows", "seconds", "total"])
-
-    made = rows.select(key, F.col("ts").cast("timestamp").alias("ts")).groupBy(key)
-    return made.applyInPandasWithState(run, f"{key} {kind}, rows long, seconds double, total long", "held long, start double, total long", "append", GroupStateTimeout.NoTimeout)
+        # A unit is closed once, and units that close later are later ones; so order matters within a batch only.
+        for at, n in sorted((int(at), int(n)) for batch in rows for at, n in zip(batch["at"], batch["n"], strict=True)):
+            if held and at - start >= self.seconds:
+                out.append(self._report(key, start, held, self.seconds, total))
+                held = 0
+            start = start if held else at
+            held, total = held + n, total + n
+            if held >= self.count:
+                out.append(self._report(key, start, held, at + self.unit - start, total))
+                held = 0
+        self.held.update((held, start, total))
+        if held:
+            self.handle.registerTimer((start + self.seconds) * 1000)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, start, total = self.held.get() if self.held.exists() else (0, 0, 0)
+        out = []
+        if held and (start + self.seconds) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            out.append(self._report(key, start, held, self.seconds, total))
+            self.held.update((0, start, total))
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def rate_by_count_or_time(rows: DataFrame, key: str, count: int = 10_000, seconds: int = 60, unit: int = 1, watermark: str = "10 minutes") -> DataFrame:
+    """(key, start, rows, seconds, total): reported when ``count`` rows have come or ``seconds`` have passed.
+
+    Time is the stream's own (ts), in units of ``unit`` seconds, of which ``seconds`` is a multiple. Spark
+    counts the rows of each key and unit, in parts before the shuffle, so that a hot key is a few
+    numbers a unit; a unit is taken as it closes behind the watermark. A report by count takes the
+    unit's rows whole, so it may have more; one by time comes by the next unit or, where none comes, by
+    a timer. Reports are the same however the rows are cut into batches. The session needs the
+    RocksDB state store.
+    """
+    if seconds % unit:
+        raise ValueError("seconds is a multiple of unit")
+    kind = rows.schema[key].dataType.simpleString()
+    units = rows.withWatermark("ts", watermark).groupBy(key, F.window("ts", f"{unit} seconds").alias("w")).agg(F.count("*").alias("n"))
+    closed = units.select(key, F.window_time("w").alias("ts"), F.unix_seconds(F.col("w.start")).alias("at"), "n")
+    return closed.groupBy(key).transformWithStateInPandas(_Rates(key, count, seconds, unit), f"{key} {kind}, start timestamp, rows long, seconds long, total long", "Append", "EventTime")
 
 
 def latest_labels(edits: DataFrame, order: list[str]) -> DataFrame:
