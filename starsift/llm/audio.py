@@ -133,8 +133,8 @@ def features(payload: bytes) -> tuple[np.ndarray, list[tuple[float, float]], lis
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): the UTF-8 bytes of each text, filled up to a positive multiple of PAD, as WAV.
 
-    A null text is empty (PAD zeros); repeated rows stay; other columns are left out; an empty table
-    gives no rows.
+    A null text is empty (PAD zeros); very long texts are stored whole, each by one task; repeated rows
+    stay; other columns are left out; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,8 @@ def described(media: DataFrame) -> DataFrame:
     """For each of :func:`store`'s rows: what its stored bytes hold, its tensors, and its loud segments.
 
     ``tensors`` is an Arrow stream with the columns start_s, end_s and tensor (see :func:`pack`), ``loud``
-    has [start, end] in seconds of each segment.
+    has [start, end] in seconds of each segment. Very long media are described whole, each by one task;
+    repeated rows stay; an empty table gives no rows.
     """
 
     def find(doc, n, stored):

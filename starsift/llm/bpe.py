@@ -102,7 +102,9 @@ _BLOCKS = "block string, bucket int, doc_id long, n long, data binary"
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number, all first bytes before all second ones."""
+    """The low ``width`` bytes of each number, all first bytes before all second ones; larger numbers are an error."""
+    if len(x) and int(x.max()) >> 8 * width:
+        raise OverflowError(f"{int(x.max())} takes more than {width} bytes")
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
 
 
@@ -261,7 +263,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(doc_id, n_tokens, ids) for every row of ``docs``.
 
     ``ids`` is little-endian unsigned 32-bit. With ``digest`` the ids are decoded at once and the
-    digests of ids and bytes are returned in their place. A null or empty text has no ids; a repeated
+    digests of ids and bytes are returned in their place. A null or empty text has no ids; a very long
+    text is encoded whole, as a block of its own; a block of more than 2 ** 24 distinct words is an error; a repeated
     row or id gives as many rows; other columns of ``docs`` are left out; an empty table gives no
     rows. ``path`` must be readable on every executor (an installed vocabulary file).
     """

@@ -107,8 +107,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
     ``formatted`` of the turns of a conversation, joined in order, is its text. ``loss_start`` and
     ``loss_end`` bound in code points what is learned: an assistant's text, else nothing. A null text
-    or role is empty; further columns are left out; a repeated row is a further turn; an empty table
-    gives no rows.
+    or role is empty; further columns are left out; a repeated row is a further turn; a very long text
+    is rendered whole; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +131,8 @@ def read_back(turns: DataFrame) -> DataFrame:
     """A row for each conversation of :func:`format_turns`, from the formatted text alone.
 
     Turns go by number; turns of equal number by their formatted text. Null numbers come first, and
-    rows with a null conv_id make one conversation.
+    rows with a null conv_id make one conversation. Columns beside those of :func:`format_turns`,
+    whatever their names, change nothing; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

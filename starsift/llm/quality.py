@@ -90,7 +90,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id_
     labelled ones. Keys are the log weight plus Gumbel noise that depends on seed, id and text, so
     reruns agree; equal keys go by id. Null labels or ids don't train; without good rows the target
     is the raw model, and the sample is uniform. Null texts are empty and weigh 1; repeated rows
-    have equal keys; an empty table gives no rows.
+    have equal keys; very long texts count whole; other columns of ``docs`` change nothing; an empty
+    table gives no rows.
     """
     known = labels.select(F.col(id_col).alias("label_id"), (F.col(label_col) > 0).cast("int").alias("good")).dropna()
     rates = known.agg(F.avg("good").alias("share")).first()

@@ -129,7 +129,8 @@ def scan_paths(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id
     """``docs`` with n_assign, n_access, n_hex, base and spans of each row's content.
 
     Without ``ledger`` a new one is begun in the shared folder. Columns of ``docs`` with these names
-    are replaced, others stay whatever their names. Null texts are empty; repeated rows stay.
+    are replaced, others stay whatever their names. Null texts are empty; very long ones are scanned
+    whole; repeated rows, and rows of equal texts, each get the same findings; an empty table stays empty.
     """
     ledger = ledger or new_path(docs.sparkSession, "ledger")
     scan(docs, ledger, id_col, text_col)

@@ -387,6 +387,16 @@ def test_fast_splitter_is_the_pattern():
         assert bpe.pretokens(text, public_tokenizers.PATTERN) == bpe._splitter(public_tokenizers.PATTERN).findall(text)
 
 
+def test_numbers_too_large_for_their_bytes_are_an_error():
+    for width in (1, 2, 3, 4):
+        most = np.array([0, 1, 256**width - 1])
+        assert (bpe._numbers(bpe._planes(most, width), 3, width) == most).all()
+        if width < 4:
+            with pytest.raises(OverflowError):
+                bpe._planes(most + 1, width)
+    assert bpe._planes(np.array([], dtype=np.int64), 3) == b""
+
+
 # --- embeddings ------------------------------------------------------------------------------------------------------
 
 
