@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from starsift.llm import bpe, mixing, order_minhash, secrets, toxicity
-from starsift.storage import scratch
+from starsift.storage import removed, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +63,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again as the next one's docs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet and read again as the next one's docs.
+
+    What a stage wrote for itself goes with its end, and a stage's rows once the next one's are written.
+    """
+    docs, earlier = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        with scratch(spark) as keep:  # a stage's own tables go with its end
+        with scratch(spark) as keep:
             docs = keep(stage(spark, docs, sf_dir), name)
+        removed(spark, earlier)
+        earlier = keep.kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

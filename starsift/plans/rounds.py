@@ -44,8 +44,7 @@ def active_learning_round(features: DataFrame, truth: DataFrame, state: State, c
     batch = written(batch.select("filename"), "batch")
     labeled = features.join(state.labels.select("filename", L.encode(F.col("label")).alias("label")), "filename")
     loaded = features.join(batch, "filename", "left_semi").withColumn("label", F.lit(L.UNKNOWN))
-    rows = written(labeled.unionByName(loaded), "training")
-    fitted = fit(rows, cfg, state.fitted.train if state.fitted else None)
+    fitted = fit(labeled.unionByName(loaded), cfg, state.fitted.train if state.fitted else None)
     scores = written(score_linear(features, fitted.model).select("filename", "score"), "scores")
     judged = L.one_vs_rest(L.attach_truth(L.drop_labeled(scores, state.labels), truth), cls)
     corrections = written(L.find_corrections(L.restrict_to_batch(judged, batch), n_corrections), "corrections")

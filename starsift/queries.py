@@ -88,6 +88,11 @@ def rank_nominal(spark, d):
     return R.global_rank(P.scores(spark, d), [F.asc("score"), F.asc("filename")]).select("filename", "rank")
 
 
+@query(f"WITH {P.SCORES} SELECT filename, score FROM p ORDER BY score, filename LIMIT 100")
+def nominal_first(spark, d):
+    return R.rank_nominal(P.scores(spark, d)).limit(100).select("filename", "score")
+
+
 @query(f"WITH {P.SCORES} SELECT filename, round(abs(score - (SELECT avg(score) FROM p)), 6) AS gap FROM p")
 def rank_mean(spark, d):
     return R.rank_by_mean(P.scores(spark, d)).select("filename", r6("gap"))
@@ -873,7 +878,7 @@ def summaries(spark, d):
     own = P.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean"))
     text = F.concat(F.lit("n,mean\n"), F.col("n").cast("string"), F.lit(","), F.format_string("%.6f", "mean"), F.lit("\n"))
     I.write_files(own.select(F.format_string("run_%d/results_summary.csv", "label").alias("filename"), text.cast("binary").alias("content")), root)
-    return I.read_summaries(spark, root).select(F.regexp_extract("run_dir", r"\d+$", 0).cast("int").alias("run"), F.col("n").cast("long").alias("n"), "mean")
+    return I.read_summaries(spark, root, "n long, mean double").select(F.regexp_extract("run_dir", r"\d+$", 0).cast("int").alias("run"), "n", "mean")
 
 
 @query(f"WITH {P.STREAM} SELECT filename, source, round(CASE WHEN source IN ('click', 'error') THEN 1 - score ELSE score END, 6) AS score FROM s")
@@ -1009,6 +1014,15 @@ def stream_labels(spark, d):
     return T.label_state(spark, store, ["ts", "event_id"]).select("filename", "label")
 
 
+@query(f"WITH {P.STREAM} SELECT user_name AS filename, arg_min(filename, (ts, filename)) AS first, arg_min(source, (ts, filename)) AS source FROM s GROUP BY user_name")
+def stream_first(spark, d):
+    rows = P.as_stream(P.stream_rows(spark, d).select(F.col("user").alias("key"), "filename", "source", "ts"))
+    store = new_path(spark, "first")
+    T.stream_keyed(rows, "key", ["source"], ["ts", "filename"], store, new_path(spark, "progress"), compact=3, first=True).awaitTermination()
+    found = T.keyed_state(spark, store, "key", ["source"], ["ts", "filename"], first=True)
+    return found.select(F.col("key").alias("filename"), F.col("filename").alias("first"), "source")
+
+
 #: Of stream_rate_state: rows and seconds of a report, and the seconds that rows may be late.
 RATE_COUNT, RATE_SECONDS, RATE_LATE = 50, 3600, 600
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import bz2
-import lzma
 import re
 import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import BinaryIO
 
 import numpy as np
@@ -109,9 +108,7 @@ def _entry(file: BinaryIO, at: int, packed: int, method: int, crc: int, name: st
     elif method == zipfile.ZIP_BZIP2:
         data = bz2.decompress(data)
     elif method == zipfile.ZIP_LZMA:
-        size = struct.unpack("<2xH", data[:4])[0]
-        filters = [lzma._decode_filter_properties(lzma.FILTER_LZMA1, data[4 : 4 + size])]
-        data = lzma.decompress(data[4 + size :], lzma.FORMAT_RAW, filters=filters)
+        data = zipfile.LZMADecompressor().decompress(data)
     elif method != zipfile.ZIP_STORED:
         raise zipfile.BadZipFile(f"{name} is packed by method {method}")
     if zlib.crc32(data) != crc:
@@ -211,9 +208,10 @@ def read_listed_files(spark: SparkSession, path: str, on_missing: str = "drop",
     return read.select("path", basename(F.col("path")).alias("filename"), "content")
 
 
-def read_summaries(spark: SparkSession, root: str) -> DataFrame:
-    """All results_summary.csv under a folder, with the folder of each as run_dir."""
-    df = spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", "results_summary.csv").csv(root)
+def read_summaries(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """All results_summary.csv under a folder, with the folder of each as run_dir; without a schema they are read once more to infer it."""
+    reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", True)
+    df = reader.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "results_summary.csv").csv(root)
     return df.withColumn("run_dir", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
 
 
@@ -281,8 +279,17 @@ def read_split_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/files").drop("is_labeled").withColumn("label", F.lit(-1))
 
 
-def read_split_stats(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/stats")
+def read_split_stats(spark: SparkSession, path: str, stats: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The statistics beside split tables; where they lack, ``stats`` makes them of all rows, and they are written."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/stats")
+    except AnalysisException:
+        if stats is None:
+            raise
+        stats(spark.read.parquet(f"{path}/files").drop("is_labeled")).write.mode("overwrite").parquet(f"{path}/stats")
+        return spark.read.parquet(f"{path}/stats")
 
 
 def read_unlabeled(spark: SparkSession, path: str, labels: DataFrame) -> DataFrame:

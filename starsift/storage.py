@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -81,8 +81,21 @@ def folders(spark: SparkSession, path: str, name: str) -> list[tuple[int, str]]:
     return sorted((int(m[1] or 0), f) for m, f in named if m)
 
 
+class Run:
+    """What :func:`scratch` gives: called with a table and a name it writes the table as one that stays."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[str] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.kept.append(self.paths[-1])
+        return out
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Run]:
     """A run: the intermediate tables that are written within it, by this thread, go at its end; what is kept stays.
 
     with scratch(spark) as keep:
@@ -91,18 +104,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     Runs may be nested or go on at once in several threads: each has its own tables only, and what an
     inner run keeps is the outer run's.
     """
-    outer, own, kept = _run.get(), [], []
-    token = _run.set(own)
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        out = written(df, name)
-        kept.append(own[-1])
-        return out
-
+    outer, run = _run.get(), Run()
+    token = _run.set(run.paths)
     try:
-        yield keep
+        yield run
     finally:
         _run.reset(token)
         if outer is not None:
-            outer += kept
-        removed(spark, [path for path in own if path not in kept])
+            outer += run.kept
+        removed(spark, [path for path in run.paths if path not in run.kept])

@@ -56,32 +56,43 @@ def newest_state(spark: SparkSession, store: str) -> DataFrame:
 
 
 def stream_labels(edits: DataFrame, order: list[str], store: str, checkpoint: str, key: str = "filename", compact: int = 16) -> StreamingQuery:
-    """The last label of each key, by ``order`` columns, under ``store``: a base and what the batches since then changed.
+    """The last label of each key, by ``order`` columns, under ``store``; :func:`label_state` reads it."""
+    return stream_keyed(edits, key, ["label"], order, store, checkpoint, compact)
 
-    A batch writes its own last labels only, as ``delta=<batch>``. Every ``compact`` batches the base and
-    the deltas become a new base, ``base=<batch>``; then those it holds are removed. A batch that runs
-    again writes its delta again, and a base that is there stays as it is.
+
+def label_state(spark: SparkSession, store: str, order: list[str], key: str = "filename", upto: int | None = None) -> DataFrame:
+    """The last label of each key that :func:`stream_labels` knows, up to a batch."""
+    return keyed_state(spark, store, key, ["label"], order, upto)
+
+
+def stream_keyed(rows: DataFrame, key: str, columns: list[str], order: list[str], store: str, checkpoint: str, compact: int = 16, first: bool = False) -> StreamingQuery:
+    """The last row of each key by ``order``, or the first one, under ``store``: a base and what the batches since then changed.
+
+    A batch writes its own rows only, as ``delta=<batch>``. Every ``compact`` batches the base and the
+    deltas become a new base, ``base=<batch>``; then those it holds are removed. A batch that runs again
+    writes its delta again, and a base that is there stays as it is.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last_edits(batch, order, key).write.mode("overwrite").parquet(f"{store}/delta={batch_id}")
+        picked(batch, key, columns, order, first).write.mode("overwrite").parquet(f"{store}/delta={batch_id}")
         mark(spark, f"{store}/delta_done={batch_id}")
         if (batch_id + 1) % compact:
             return
         if batch_id not in {k for k, _ in _complete(spark, store, "base")}:
-            label_state(spark, store, order, key, batch_id).write.mode("overwrite").parquet(f"{store}/base={batch_id}")
+            keyed_state(spark, store, key, columns, order, batch_id, first).write.mode("overwrite").parquet(f"{store}/base={batch_id}")
             mark(spark, f"{store}/base_done={batch_id}")
         for name, last in (("base_done", batch_id - 1), ("base", batch_id - 1), ("delta_done", batch_id), ("delta", batch_id)):
             removed(spark, [path for k, path in folders(spark, store, name) if k <= last])
 
-    return _start(edits, checkpoint, write)
+    return _start(rows, checkpoint, write)
 
 
-def last_edits(edits: DataFrame, order: list[str], key: str = "filename") -> DataFrame:
-    """(key, label, order columns) of the last edit of each key."""
-    rest = F.struct("label", *order)
-    return edits.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("last")).select(key, "last.*")
+def picked(rows: DataFrame, key: str, columns: list[str], order: list[str], first: bool = False) -> DataFrame:
+    """(key, columns, order) of the last row of each key, or the first."""
+    own = list(dict.fromkeys([*columns, *order]))
+    pick = F.min_by if first else F.max_by
+    return rows.groupBy(key).agg(pick(F.struct(*own), F.struct(*order)).alias("one")).select(key, "one.*")
 
 
 def _complete(spark: SparkSession, store: str, name: str) -> list[tuple[int, str]]:
@@ -90,12 +101,12 @@ def _complete(spark: SparkSession, store: str, name: str) -> list[tuple[int, str
     return [(k, path) for k, path in folders(spark, store, name) if k in done]
 
 
-def label_state(spark: SparkSession, store: str, order: list[str], key: str = "filename", upto: int | None = None) -> DataFrame:
-    """The last label of each key that :func:`stream_labels` knows, up to a batch: the newest base and the deltas after it."""
+def keyed_state(spark: SparkSession, store: str, key: str, columns: list[str], order: list[str], upto: int | None = None, first: bool = False) -> DataFrame:
+    """What :func:`stream_keyed` knows, up to a batch: the newest base and the deltas after it."""
     bases = [(k, path) for k, path in _complete(spark, store, "base") if upto is None or k <= upto]
     since, base = max(bases, default=(-1, None))
     deltas = [path for k, path in _complete(spark, store, "delta") if k > since and (upto is None or k <= upto)]
-    return last_edits(spark.read.parquet(*([base] if base else []), *deltas), order, key)
+    return picked(spark.read.parquet(*([base] if base else []), *deltas), key, columns, order, first)
 
 
 def tumbling_rate(rows: DataFrame, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:

@@ -176,6 +176,13 @@ def test_summaries_lists_and_split_tables(spark, tmp_path):
     I.write_split_tables(df, str(tmp_path / "split"), df.agg(F.avg("label").alias("mean")))
     assert {(r["filename"], r["label"]) for r in I.read_split_tables(spark, str(tmp_path / "split")).collect()} == {("a", -1), ("b", -1), ("c", -1)}
     assert abs(I.read_split_stats(spark, str(tmp_path / "split")).first()["mean"] + 1 / 3) < 1e-12
+    I.write_split_tables(df, str(tmp_path / "bare"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        I.read_split_stats(spark, str(tmp_path / "bare"))
+    for _ in range(2):  # made once, then read
+        assert I.read_split_stats(spark, str(tmp_path / "bare"), lambda rows: rows.agg(F.max("label").alias("most"))).first()["most"] == 1
+    typed = I.read_summaries(spark, str(tmp_path), "final_auroc string")
+    assert {r["final_auroc"] for r in typed.collect()} == {"0.1", "0.2"}
     now = spark.createDataFrame([("b",)], "filename string")
     assert [r["filename"] for r in I.read_unlabeled(spark, str(tmp_path / "split"), now).collect()] == ["c"]
 
