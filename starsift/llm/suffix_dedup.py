@@ -180,8 +180,15 @@ def _detect(batches: Iterator[pd.DataFrame], sizes: Sizes, buckets: int) -> Iter
             yield pd.DataFrame({"bucket": some, "chunk": chunk, "hashes": [hashes[a:z].tobytes() for a, z in cut], "counts": [counts[a:z].tobytes() for a, z in cut]})
 
 
-def _settle(rows: pd.DataFrame, sizes: Sizes) -> pd.DataFrame:
-    """(chunk, bucket, states) for one bucket: for each hash 0 if no other document has it, 2 if its group would be large, else 1."""
+def _settle(batches: Iterator[pd.DataFrame], sizes: Sizes) -> Iterator[pd.DataFrame]:
+    """(chunk, bucket, states) of a partition, which has one bucket."""
+    rows = [batch for batch in batches if len(batch)]
+    if rows:
+        yield _states(pd.concat(rows, ignore_index=True), sizes)
+
+
+def _states(rows: pd.DataFrame, sizes: Sizes) -> pd.DataFrame:
+    """For each hash of a bucket 0 if no other document has it, 2 if its group would be large, else 1."""
     hashes = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["hashes"]])
     counts = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in rows["counts"]]).astype(np.int64)
     order = np.argsort(hashes)
@@ -544,7 +551,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = chunks.agg(F.sum(F.length("lengths")).alias("n"), F.sum(F.length("data")).alias("bytes")).first()
     buckets = max(shuffles, (total["bytes"] or 0) // (2 * sizes.range))
     hashes = chunks.select("chunk", "lengths", "data").mapInPandas(partial(_detect, sizes=sizes, buckets=buckets), "bucket int, chunk long, hashes binary, counts binary")
-    states = hashes.groupBy("bucket").applyInPandas(lambda rows: _settle(rows, sizes), "chunk long, bucket int, states binary")
+    # A partition for each bucket, whose share of the hashes is even.
+    states = hashes.repartitionById(buckets, "bucket").mapInPandas(partial(_settle, sizes=sizes), "chunk long, bucket int, states binary")
     flags = written(states, "flags", "zstd").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "states")).alias("flags"))
 
     sorted_runs = chunks.select("chunk", "ids", "lengths", "data").join(flags, "chunk").mapInPandas(partial(_runs, sizes=sizes, buckets=buckets), "chunk long, seq int, first binary, last binary, n int, data binary")
