@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starsift.llm.components import connected_components
-from starsift.storage import written
+from starsift.storage import scratch, written
 
 #: Words of a k-mer, sketches, k-mers that a sketch picks, and the least similarity of a link. One word
 #: in five changed leaves at least 3/5 of the pairs of words, so a sketch agrees with chance 0.18 or more.
@@ -392,7 +392,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     """(text_hash, text_check, rid, class_id, n_texts, chosen) of every distinct text of ``docs``.
 
     ``chosen`` marks the text that stays of a class: of those that have a document ``class_id`` the first.
+    The tables of words, buckets and pairs on the way go with the end.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_classed(docs, id_col, text_col, least), "classes")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     text = _text(text_col)
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *_key(text))
     # Copies are joined before they are shuffled. The number of a text is written once and then read.
@@ -419,7 +425,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     best = F.struct(F.col("first_id").isNull().alias("lacks"), F.col("first_id"), F.col("rid"))
     classes = labelled.groupBy("group").agg(F.min(best).alias("best"), F.count("*").alias("n_texts"))
     out = labelled.join(classes, "group")
-    return written(out.select("text_hash", "text_check", "rid", F.col("best.first_id").alias("class_id"), "n_texts", (F.col("rid") == F.col("best.rid")).alias("chosen")), "classes")
+    return out.select("text_hash", "text_check", "rid", F.col("best.first_id").alias("class_id"), "n_texts", (F.col("rid") == F.col("best.rid")).alias("chosen"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:

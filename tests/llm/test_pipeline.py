@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starsift.llm import queries, secrets
+from starsift.llm import mixing, queries, secrets
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +47,21 @@ def test_mixture_and_tokens(stages):
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in stages[5].collect()) == expected
 
 
-def test_run_is_the_stages(spark, sf, stages):
+def test_run_is_the_stages_and_leaves_its_input_only(spark, sf, stages):
+    from pathlib import Path
+
+    from starsift.storage import shared_dir
+
+    tables = lambda: {p.name for p in Path(shared_dir(spark)).iterdir() if re.fullmatch(r"[a-z_]+-[0-9a-f]{32}", p.name)}
+    before = tables()
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, stages[-1].collect()))
+    (left,) = tables() - before
+    assert left.startswith("mixture-")
+
+
+def test_the_mixture_is_in_the_order_of_its_slots(spark, sf, stages):
+    rows = mixing.mixed(stages[3], slot_col="slot").orderBy("slot", "doc_id").select("doc_id", "text").collect()
+    assert corpus_pipeline.mix_sources(spark, stages[3], sf).select("doc_id", "text").collect() == rows
 
 
 def test_empty_documents(spark, sf, stages):
@@ -78,4 +93,4 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert set(queries.queries()) <= set(names) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
