@@ -11,8 +11,9 @@
 4. What still meets in a bucket from different groups is compared in blocks, by the number of
    sketches that agree (AGREE at least), by lengths and by word counts, which rule out no link. First,
    ROUNDS times, each text of a large bucket is verified against the nearest by agreeing sketches only, which
-   joins most of a family at one comparison a text. Then all pairs that are left are verified; a pair
-   leaves the task of its first common bucket only.
+   joins most of a family at one comparison a text. Then the texts that still have a candidate of another
+   group meet with their words, in small blocks. All their pairs are verified where they meet, each at its
+   first common sketch, but for groups that were just joined there; only links that join groups leave.
 5. Candidates are verified by banded alignment of their words: a link is an edit similarity, 1 minus
    edit distance over the longer length, of at least LEAST. Components of links are the classes.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,12 +43,14 @@ WORDS, SKETCHES, PICKED, LEAST = 2, 48, 2, 0.8
 AGREE, LONG = 2, 20
 #: Most words of a short text, whose links are all found.
 SHORT = 14
-#: Bins of the word counts that rule pairs out, texts of a block, and rows of a small block pair.
-BINS, BLOCK, SMALL = 256, 2048, 32
+#: Bins of the word counts that rule pairs out, texts of a block, of one whose pairs are aligned, and rows of a small block pair.
+BINS, BLOCK, ALIGNED, SMALL = 256, 2048, 128, 32
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 20
 #: Rounds of nearest pairs in large buckets; a second one joined 16 more pairs of 1600 texts on check data.
 ROUNDS = 1
+#: What block pairs go by.
+KEYS = ["bucket", "low", "high"]
 SEED = 20240611
 
 _rng = np.random.default_rng(SEED)
@@ -277,60 +280,58 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").mapInPandas(_verify(least), "a long, b long")
 
 
-def _rule_out(least: float, nearest: bool):
-    """Pairs of different groups in a block pair that may be links, at their first common sketch.
+def _candidates(rows: pd.DataFrame, least: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in ``rows``, whole block pairs one after the other, of pairs of different groups that may be links.
 
-    With ``nearest`` each text of the smaller side gives only the pair of which most sketches agree.
+    A pair is met at its first common sketch; the third array has the number of sketches that agree. With
+    ``nearest`` each text of the smaller side gives only the pair of which most sketches agree.
     """
-    keys = ["bucket", "low", "high"]
-
-    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Of whole block pairs, one after the other."""
-        if rows.empty:
-            return
-        rid, group, n, sketch, own, low, high = (rows[c].to_numpy() for c in ("rid", "group", "n", "sketch", "own", "low", "high"))
-        signs = np.frombuffer(b"".join(rows["signs"]), dtype="<u2").reshape(-1, SKETCHES)
-        counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(-1, BINS)
-        change = (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)
-        ends = np.append(np.flatnonzero(change) + 1, len(rows))
-        sizes = np.diff(ends, prepend=0)
-
-        def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            end = np.repeat(np.where((sizes > SMALL) | nearest, 0, ends), sizes)
-            at = np.arange(len(rows))
-            for d in range(1, SMALL):  # of small block pairs together, each row and the d-th after it
-                at = at[at + d < end[at]]
-                yield at, at + d
-            large = (sizes > SMALL) | nearest
-            for size, end in zip(sizes[large], ends[large], strict=True):
-                every = np.arange(end - size, end)
-                one, other = every[own[every] == low[end - 1]], every[own[every] != low[end - 1]]
-                if low[end - 1] == high[end - 1]:
-                    yield from ((every[k : k + 1], every if nearest else every[k + 1 :]) for k in range(size))
-                else:
-                    one, other = (one, other) if len(one) < len(other) else (other, one)
-                    yield from ((one[k : k + 1], other) for k in range(len(one)))
-
-        for i, j in met():
-            good = (group[i] != group[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
-            i, j = np.broadcast_to(i, good.shape)[good], np.broadcast_to(j, good.shape)[good]
-            most = (1 - least) * np.maximum(n[j], n[i]) + 1e-9
-            near = np.abs(n[j] - n[i]) <= most
-            i, j, most = i[near], j[near], most[near]
-            agree = signs[j] == signs[i]
-            times = agree.sum(axis=1)
-            if nearest:
-                near = np.lexsort((rid[j], -times))[:1]
-            else:  # pairs of a bucket that is no sketch, of short texts, may repeat
-                near = (times >= np.where(np.minimum(n[j], n[i]) < LONG, 0, AGREE)) & ((sketch[i] < 0) | (agree.argmax(axis=1) == sketch[i]))
-            i, j, most = i[near], j[near], most[near]
-            over = counts[j].astype(np.int16) - counts[i]
-            lost = np.maximum(np.where(over > 0, over, 0).sum(axis=1), np.where(over < 0, -over, 0).sum(axis=1))
-            i, j = i[lost <= most], j[lost <= most]
-            if len(i):
-                turned = rid[i] > rid[j]
-                i, j = np.where(turned, j, i), np.where(turned, i, j)
-                yield pd.DataFrame({"a": rid[i], "b": rid[j], "group_a": group[i], "group_b": group[j]})
+    if rows.empty:
+        return
+    rid, group, n, sketch, own, low, high = (rows[c].to_numpy() for c in ("rid", "group", "n", "sketch", "own", "low", "high"))
+    signs = np.frombuffer(b"".join(rows["signs"]), dtype="<u2").reshape(-1, SKETCHES)
+    counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.uint8).reshape(-1, BINS)
+    change = (rows[KEYS].to_numpy()[1:] != rows[KEYS].to_numpy()[:-1]).any(axis=1)
+    ends = np.append(np.flatnonzero(change) + 1, len(rows))
+    sizes = np.diff(ends, prepend=0)
+
+    def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        end = np.repeat(np.where((sizes > SMALL) | nearest, 0, ends), sizes)
+        at = np.arange(len(rows))
+        for d in range(1, SMALL):  # of small block pairs together, each row and the d-th after it
+            at = at[at + d < end[at]]
+            yield at, at + d
+        large = (sizes > SMALL) | nearest
+        for size, end in zip(sizes[large], ends[large], strict=True):
+            every = np.arange(end - size, end)
+            one, other = every[own[every] == low[end - 1]], every[own[every] != low[end - 1]]
+            if low[end - 1] == high[end - 1]:
+                yield from ((every[k : k + 1], every if nearest else every[k + 1 :]) for k in range(size))
+            else:
+                one, other = (one, other) if len(one) < len(other) else (other, one)
+                yield from ((one[k : k + 1], other) for k in range(len(one)))
+
+    for i, j in met():
+        good = (group[i] != group[j]) & ((own[i] != own[j]) | (low[i] == high[i]))
+        i, j = np.broadcast_to(i, good.shape)[good], np.broadcast_to(j, good.shape)[good]
+        most = (1 - least) * np.maximum(n[j], n[i]) + 1e-9
+        near = np.abs(n[j] - n[i]) <= most
+        i, j, most = i[near], j[near], most[near]
+        agree = signs[j] == signs[i]
+        times = agree.sum(axis=1)
+        if nearest:
+            near = np.lexsort((rid[j], -times))[:1]
+        else:  # pairs of a bucket that is no sketch, of short texts, may repeat
+            near = (times >= np.where(np.minimum(n[j], n[i]) < LONG, 0, AGREE)) & ((sketch[i] < 0) | (agree.argmax(axis=1) == sketch[i]))
+        i, j, most, times = i[near], j[near], most[near], times[near]
+        over = counts[j].astype(np.int16) - counts[i]
+        lost = np.maximum(np.where(over > 0, over, 0).sum(axis=1), np.where(over < 0, -over, 0).sum(axis=1))
+        if (lost <= most).any():
+            yield i[lost <= most], j[lost <= most], times[lost <= most]
+
+
+def _whole(made: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What ``made`` gives for batches of rows, whole block pairs at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -339,36 +340,119 @@ def _rule_out(least: float, nearest: bool):
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if rows.empty:
                 continue
-            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
-            yield from pairs(rows[~last])
+            last = (rows[KEYS] == rows[KEYS].iloc[-1]).all(axis=1).to_numpy()
+            yield from made(rows[~last])
             held = rows[last]
         if held is not None:
-            yield from pairs(held)
+            yield from made(held)
 
     return run
 
 
-def _open_pairs(met: DataFrame, groups: DataFrame, texts: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """Candidates (a, b, group_a, group_b) of different groups among texts that share a bucket.
+def _rule_out(least: float, nearest: bool):
+    """Pairs of different groups in a block pair that may be links, see ``_candidates``."""
+
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rid, group = rows["rid"].to_numpy(), rows["group"].to_numpy()
+        for i, j, _ in _candidates(rows, least, nearest):
+            turned = rid[i] > rid[j]
+            i, j = np.where(turned, j, i), np.where(turned, i, j)
+            yield pd.DataFrame({"a": rid[i], "b": rid[j], "group_a": group[i], "group_b": group[j]})
+
+    return _whole(pairs)
+
+
+def _partnered(least: float):
+    """The rows (bucket, sketch, rid, group) of a block pair that are in a pair which may be a link."""
+
+    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        has = np.zeros(len(rows), dtype=bool)
+        for i, j, _ in _candidates(rows, least, False):
+            has[i] = has[j] = True
+        yield rows.loc[has, ["bucket", "sketch", "rid", "group"]]
+
+    return _whole(found)
 
-    ``groups`` has (rid, group) of texts that are in a group of several. With ``nearest`` a pair for each text of large buckets.
-    The largest group of a bucket is never held against itself: its blocks meet those of the rest.
+
+def _aligned(least: float):
+    """Links (group_a, group_b) within block pairs whose rows have their words, fewer than there are rows.
+
+    All pairs that may be links are verified, those of which most sketches agree first, but for pairs of groups
+    that links of the same rows have joined already.
     """
-    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = met.select("bucket", "sketch", "rid").join(groups, "rid", "left").withColumn("group", F.coalesce("group", "rid"))
+
+    def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        met = list(_candidates(rows, least, False))
+        if not met:
+            return
+        i, j, times = (np.concatenate(x) for x in zip(*met, strict=True))
+        group, packed = rows["group"].tolist(), rows["words"].tolist()
+        words = functools.lru_cache(4 * ALIGNED)(lambda k: _sequence(packed[k]))
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                joined[x] = joined.get(joined[x], joined[x])
+                x = joined[x]
+            return x
+
+        found = []
+        for k in np.argsort(-times, kind="stable"):
+            a, b = root(group[i[k]]), root(group[j[k]])
+            if a != b and similar(words(int(i[k])), words(int(j[k])), least):
+                joined[max(a, b)] = min(a, b)
+                found.append((a, b))
+        if found:
+            yield pd.DataFrame(found, columns=["group_a", "group_b"])
+
+    return _whole(links)
+
+
+def _grouped(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, sketch, rid, group) of texts that share a bucket; ``groups`` has (rid, group) of those in a group of several."""
+    return met.select("bucket", "sketch", "rid").join(groups, "rid", "left").withColumn("group", F.coalesce("group", "rid"))
+
+
+def _block_pairs(grouped: DataFrame, texts: DataFrame, columns: list[str], block: int, over: int = 0) -> DataFrame:
+    """The rows of buckets of several groups and more than ``over`` rows, once for each pair of blocks, with ``columns`` of their texts.
+
+    Partitions have whole block pairs, one after the other. The largest group of a bucket is never held against
+    itself: its blocks meet those of the rest.
+    """
+    n = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = grouped.groupBy("bucket", "group").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.max("size").alias("most"), (F.sum("size") - F.max("size")).alias("rest")).filter("rest > 0")
-    mixed = mixed.filter(F.col("most") + F.col("rest") > SMALL) if nearest else mixed
-    mixed = mixed.select("bucket", "main", F.ceil(F.col("rest") / BLOCK).alias("blocks"), F.ceil(F.col("most") / BLOCK).alias("main_blocks"))
-    rows = grouped.join(mixed, "bucket").join(texts.select("rid", "n", "signs", "counts"), "rid")
+    mixed = mixed.filter(F.col("most") + F.col("rest") > over) if over else mixed
+    mixed = mixed.select("bucket", "main", F.ceil(F.col("rest") / block).alias("blocks"), F.ceil(F.col("most") / block).alias("main_blocks"))
+    rows = grouped.join(mixed, "bucket").join(texts.select("rid", *columns), "rid")
     draw = F.xxhash64("rid")
     is_main = F.col("group") == F.col("main")
     rows = rows.withColumn("own", F.when(is_main, F.col("blocks") + F.pmod(draw, "main_blocks")).otherwise(F.pmod(draw, "blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1 + F.when(is_main, 0).otherwise(F.col("main_blocks")))))
-    rows = rows.select("bucket", "sketch", "rid", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "signs", "counts")
-    keys = ["bucket", "low", "high"]
-    pairs = rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(_rule_out(least, nearest), "a long, b long, group_a long, group_b long")
-    return written(pairs.dropDuplicates(["a", "b"]), "pairs")
+    rows = rows.select("bucket", "sketch", "rid", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), *columns)
+    return rows.repartition(n, *KEYS).sortWithinPartitions(*KEYS)
+
+
+def _nearest_links(met: DataFrame, groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (group_a, group_b) of texts of large buckets with the nearest text of another group, one pair for each row."""
+    rows = _block_pairs(_grouped(met, groups), texts, ["n", "signs", "counts"], BLOCK, SMALL)
+    pairs = rows.mapInPandas(_rule_out(least, True), "a long, b long, group_a long, group_b long")
+    pairs = written(pairs.dropDuplicates(["a", "b"]), "pairs")
+    return verified(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"]).select("group_a", "group_b")
+
+
+def _all_links(met: DataFrame, groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (group_a, group_b) that join all groups which candidates of different groups link.
+
+    No table of pairs is made: its rows would be as many as the pairs of a family of texts just below ``least``.
+    """
+    rows = _block_pairs(_grouped(met, groups), texts, ["n", "signs", "counts"], BLOCK)
+    found = rows.mapInPandas(_partnered(least), "bucket long, sketch int, rid long, group long")
+    found = written(found.dropDuplicates(["bucket", "rid"]), "partnered")
+    # The words of these texts alone are written and dealt to block pairs.
+    columns = ["n", "signs", "counts", "words"]
+    words = written(texts.select("rid", *columns).join(found.select("rid").distinct(), "rid", "left_semi"), "words")
+    return _block_pairs(found, words, columns, ALIGNED).mapInPandas(_aligned(least), "group_a long, group_b long")
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -415,10 +499,8 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     links = written(verified(led.select(F.col("leader").alias("a"), F.col("rid").alias("b")), texts, least), "links")
     groups = written(connected_components(links).toDF("rid", "group"), "groups")
     # Then what meets in a bucket and is of different groups so far: nearest pairs, at last all pairs.
-    for nearest in [True] * ROUNDS + [False]:
-        pairs = _open_pairs(met, groups, texts, least, nearest)
-        more = verified(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"])
-        groups = _joined(groups, written(more.select("group_a", "group_b").distinct(), "links"))
+    for more in [_nearest_links] * ROUNDS + [_all_links]:
+        groups = _joined(groups, written(more(met, groups, texts, least).distinct(), "links"))
 
     # The smallest id of each component.
     labelled = texts.select("text_hash", "text_check", "rid", "first_id").join(groups, "rid", "left").withColumn("group", F.coalesce("group", "rid"))

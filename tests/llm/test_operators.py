@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from starsift.llm import audio, bpe, chat, embeddings, html, mixing, order_minhash, quality, queries, secrets, toxicity
 from starsift.llm.components import connected_components
-from starsift.storage import new_path
+from starsift.storage import new_path, written
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -629,6 +629,39 @@ def test_short_near_copies_against_brute_force(spark):
     assert [got[k] for k in range(len(texts))] == root
 
 
+def test_family_below_the_threshold(spark, monkeypatch):
+    """Texts that share a long passage and many words: nearly all pairs have to be aligned, yet none is a row."""
+    rng = random.Random(15)
+    passage, words = ["is", "onhe"] * 60, [f"w{k}" for k in range(8)]
+    texts = [rng.choices(words, k=rng.choice([50, 54, 58])) + passage for _ in range(200)]
+    for k in range(40):  # near copies, of which some link what is apart otherwise
+        copy = list(texts[k])
+        for _ in range(12):
+            copy[rng.randrange(50)] = rng.choice(words)
+        texts.append(copy)
+    rows, made = [(k, " ".join(t)) for k, t in enumerate(texts)], []
+
+    def counted(df, name, *args):
+        out = written(df, name, *args)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(order_minhash, "written", counted)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hashed = [order_minhash.word_hashes(t).astype(np.int64) for _, t in rows]
+    root, apart = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if order_minhash.similar(hashed[a], hashed[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+            else:
+                apart += 1
+    assert [got[k] for k in range(len(rows))] == root
+    assert 20 < len(set(root)) < 220 and apart > 20000
+    assert max(count for _, count in made) <= dict(made)["met"] <= order_minhash.SKETCHES * len(rows), made
+
+
 def test_near_copies_odd_tables(odd, empty):
     kept = order_minhash.deduplicated(odd)
     assert kept.columns == odd.columns
