@@ -14,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def image_name() -> Column:
+    """Five digits of vec_id, so ids of six share names: what must tell vectors apart goes by vec_id."""
     return F.concat(F.lit("img_"), F.lpad(F.col("vec_id").cast("string"), 5, "0"), F.lit(".jpeg"))
 
 
@@ -63,8 +64,8 @@ LOGITS = VECTORS + ", l AS (SELECT filename, features[1] * 20 AS w0, features[2]
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(filename, px): 8 x 8 gray images of the vectors' components."""
-    return vectors(spark, sf_dir).select("filename", F.transform("features", lambda x: F.floor((x + 1) * 127.5).cast("int")).alias("px"))
+    """(vec_id, filename, px): 8 x 8 gray images of the vectors' components."""
+    return vectors(spark, sf_dir).select("vec_id", "filename", F.transform("features", lambda x: F.floor((x + 1) * 127.5).cast("int")).alias("px"))
 
 
 PIXELS = VECTORS + ", g AS (SELECT filename, list_transform(features, lambda x: floor((x + 1) * 127.5)::INT) AS px FROM v)"

@@ -25,6 +25,8 @@ EXTENSIONS = (".jpeg", ".jpg", ".png", ".tif", ".tiff")
 ON_ERROR = ("drop", "blank", "fail")
 #: Bytes of an archive, or of listed files, that one task reads.
 RANGE = 64 << 20
+#: Of the parts that Spark makes of a folder (each file counts as 4 MB there), so many become one task, but no fewer than so many tasks a core stay.
+PARTS_A_TASK, TASKS_A_CORE = 16, 4
 
 
 def has_extension(path: Column, extensions: Sequence[str] = EXTENSIONS) -> Column:
@@ -38,6 +40,8 @@ def has_extension(path: Column, extensions: Sequence[str] = EXTENSIONS) -> Colum
 def read_images(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
     """(filename, image) of the image files of a folder; bytes that aren't an image have height -1."""
     df = spark.read.format("image").load(path)
+    tasks = df.rdd.getNumPartitions() // PARTS_A_TASK  # small files make very many parts, which cost more than their files
+    df = df.coalesce(max(tasks, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
     return df.filter(has_extension(F.col("image.origin"), extensions)).select(basename(F.col("image.origin")).alias("filename"), "image")
 
 
@@ -344,7 +348,8 @@ def decode_images(images: DataFrame, size: int, on_error: str = "drop") -> DataF
                     pixels = resize_area(pixels, size)
                 names.append(name)
                 out.append(pixels.tobytes())
-            yield pd.DataFrame({"filename": names, "pixels": out})
+            if names:  # of no rows, pandas makes columns of numbers
+                yield pd.DataFrame({"filename": names, "pixels": out})
 
     flat = images.select("filename", "image.height", "image.width", "image.nChannels", "image.data")
     return flat.mapInPandas(run, "filename string, pixels binary")
