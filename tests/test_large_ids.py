@@ -38,3 +38,12 @@ def test_a_task_without_images_gives_no_rows(spark, tmp_path):
 
 def test_decoded_images_are_told_apart_by_id(spark, large_ids):
     check_against_sql(spark, large_ids, "decoded_images")
+
+
+def test_a_folder_without_images_gives_no_resized_ones(spark, tmp_path):
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    assert I.resize_and_write(I.read_images(spark, str(tmp_path)), 4, str(tmp_path / "blobs")).collect() == []
+
+
+def test_resized_images_are_told_apart_by_id(spark, large_ids):
+    check_against_sql(spark, large_ids, "resized_images")
