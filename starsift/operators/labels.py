@@ -103,8 +103,9 @@ def attach_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return pred.join(truth, "filename")
 
 
-def drop_labeled(pred: DataFrame, labels: DataFrame) -> DataFrame:
-    return pred.join(labels.select("filename"), "filename", "left_anti")
+def drop_labeled(pred: DataFrame, labels: DataFrame, key: str = "filename") -> DataFrame:
+    """The predictions without a label; ``key`` is what tells files apart."""
+    return pred.join(labels.select(key), key, "left_anti")
 
 
 def restrict_to_batch(pred: DataFrame, batch: DataFrame) -> DataFrame:

@@ -47,3 +47,7 @@ def test_a_folder_without_images_gives_no_resized_ones(spark, tmp_path):
 
 def test_resized_images_are_told_apart_by_id(spark, large_ids):
     check_against_sql(spark, large_ids, "resized_images")
+
+
+def test_labeled_rows_are_dropped_by_id(spark, large_ids):
+    check_against_sql(spark, large_ids, "anti_labeled")
