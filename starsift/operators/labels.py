@@ -108,8 +108,9 @@ def drop_labeled(pred: DataFrame, labels: DataFrame, key: str = "filename") -> D
     return pred.join(labels.select(key), key, "left_anti")
 
 
-def restrict_to_batch(pred: DataFrame, batch: DataFrame) -> DataFrame:
-    return pred.join(batch.select("filename"), "filename", "left_semi")
+def restrict_to_batch(pred: DataFrame, batch: DataFrame, key: str = "filename") -> DataFrame:
+    """The predictions of a batch's files; ``key`` is what tells files apart."""
+    return pred.join(batch.select(key), key, "left_semi")
 
 
 existing_labels = existing_files = restrict_to_batch

@@ -51,3 +51,7 @@ def test_resized_images_are_told_apart_by_id(spark, large_ids):
 
 def test_labeled_rows_are_dropped_by_id(spark, large_ids):
     check_against_sql(spark, large_ids, "anti_labeled")
+
+
+def test_rows_of_a_batch_are_found_by_id(spark, large_ids):
+    check_against_sql(spark, large_ids, "semi_batch")
